@@ -40,3 +40,18 @@ def text_or_empty(text: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows inner join facts, one fact a key, where hot (one column, key) names a bounded number of frequent keys.
+
+    The facts of the hot keys are broadcast, so their rows stay where they are; the others are shuffled.
+    """
+    few = facts.join(F.broadcast(hot), key, "left_semi")
+    rest = rows.join(F.broadcast(hot), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(rest.join(facts, key))
+
+
+def frequent(rows: DataFrame, key: str, support: float = 1 / 512) -> DataFrame:
+    """Keys that Misra-Gries counters hold: all above that share of rows, at most 1/support."""
+    return materialize(rows.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key)).where(F.col(key).isNotNull()))

@@ -99,3 +99,26 @@ def topk(rows, k=5):
             best = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
+
+
+def line_chunks(rows, hash_of, pair_hash, modulus=3, least=2):
+    """rows: (doc_id, text). Lines removed per row, given the two hashes that place the boundaries."""
+    chunks = []
+    for i, (d, t) in enumerate(rows):
+        if t is None:
+            continue
+        lines = t.split("\n")
+        start = 0
+        for k in range(1, len(lines) + 1):
+            if k == len(lines) or (k > 1 and pair_hash(hash_of(lines[k - 2]), hash_of(lines[k - 1])) % modulus == 0):
+                if k - start >= least:
+                    chunks.append(((d, i, start), "\n".join(lines[start:k]), k - start))
+                start = k
+    first = {}
+    for at, body, _ in chunks:
+        first[body] = min(first.get(body, at), at)
+    removed = [0] * len(rows)
+    for at, body, n in chunks:
+        if first[body] != at:
+            removed[at[1]] += n
+    return removed
