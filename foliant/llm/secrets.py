@@ -89,8 +89,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = sorted(set().union(*map(trigrams, needs)))
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    low = F.lower("text")
-    held = base.select("row_key", F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(asked)])).alias("held"))
+    # The lambda's variable keeps the lower-cased text; written out, it would be worked out for every trigram.
+    of = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(asked)]))
+    held = base.select("row_key", F.transform(F.array(F.lower("text")), of)[0].alias("held"))
     postings = held.select("row_key", F.explode("held").alias("trigram"))
     masks = [F.expr(f"bit_or(if(trigram div 60 = {k}, shiftleft(1L, trigram % 60), 0L))").alias(f"mask_{k}") for k in range(-(-len(asked) // 60))]
     rows = postings.groupBy("row_key").agg(*masks)

@@ -44,8 +44,9 @@ def _frozen(query):
 
 
 def _of(strings: set[str]):
-    """What one of these strings being there implies."""
-    return _or([_and([s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """What one of these strings being there implies: of a long string, four trigrams spread over it."""
+    spots = lambda n: range(n) if n <= 4 else sorted({0, n // 3, 2 * n // 3, n - 1})
+    return _or([_and([s[i : i + 3] for i in spots(len(s) - 2)]) for s in sorted(strings)])
 
 
 def _walk(items) -> tuple[set[str] | None, object]:
