@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import exact_dedup, language, line_dedup, packing, pii, secrets
+from foliant.llm import exact_dedup, language, line_dedup, packing, pii, secrets, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_secret_scan, op4_best_fit_packing, op5_exact_dedup, op6_line_dedup, op8_pii, op9_language_id, language_id_pages]
+    own = [op3_secret_scan, op4_best_fit_packing, op5_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_pii, op9_language_id, language_id_pages]
     return {f.__name__: f for f in own}
 
 
