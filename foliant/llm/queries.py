@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import exact_dedup, language, line_dedup, packing, pii, secrets, substring_dedup
+from foliant.llm import exact_dedup, jaccard_join, language, line_dedup, packing, pii, secrets, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_secret_scan, op4_best_fit_packing, op5_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_pii, op9_language_id, language_id_pages]
+    own = [op3_secret_scan, op4_best_fit_packing, op5_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_pii, op9_language_id, op10_ngram_jaccard_join, language_id_pages]
     return {f.__name__: f for f in own}
 
 
