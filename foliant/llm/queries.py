@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import exact_dedup, jaccard_join, language, line_dedup, packing, pii, secrets, substring_dedup, topk_search
+from foliant.llm import exact_dedup, jaccard_join, language, line_dedup, packing, pieces, pii, secrets, substring_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.topk_search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_topk_search, op3_secret_scan, op4_best_fit_packing, op5_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_pii, op9_language_id, op10_ngram_jaccard_join, language_id_pages]
+    own = [op1_topk_search, op2_sentencepiece, op3_secret_scan, op4_best_fit_packing, op5_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_pii, op9_language_id, op10_ngram_jaccard_join, language_id_pages]
     return {f.__name__: f for f in own}
 
 
