@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import exact_dedup, jaccard_join, language, line_dedup, packing, pieces, pii, secrets, substring_dedup, topk_search
+from foliant.llm import exact_dedup, jaccard_join, language, line_dedup, packing, pieces, pii, secret_scan, substring_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
