@@ -192,7 +192,7 @@ class Codec:
         last = np.zeros(len(best), dtype=np.int64)
         for j in range(1, int(lengths.max(initial=0)) + 1):
             on = np.flatnonzero(lengths >= j)
-            for n in range(min(j, self.longest), 0, -1):  # of equal paths the one with the longest last piece
+            for n in range(1, min(j, self.longest) + 1):  # of equal paths the one with the shortest last piece
                 piece = edges[firsts[on] + j - n, n]
                 score = np.where(piece >= 0, self.scores[piece], self.least - UNKNOWN_PENALTY if n == 1 else -np.inf)
                 value = best[base[on] + j - n] + score
