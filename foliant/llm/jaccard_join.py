@@ -26,6 +26,9 @@ ORDERS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
 #: Bits of the filter over the documents to be read again. A full filter lets all pass; the join after it decides.
 FILTER_BITS = 1 << 23
 
+#: Hashes that a task gathers before it passes them on.
+HELD = 1 << 19
+
 DOCS, TOKENS = 0, 1
 
 
@@ -44,13 +47,12 @@ def _digest(own: np.ndarray) -> str:
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each document and, from each task, its frequent tokens by lossy counting."""
     tokens, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    waiting: list[np.ndarray] = []
+    waiting, n_waiting = np.empty(HELD, dtype=np.uint64), 0  # one buffer: many small arrays would break up the memory
 
-    def settle(least: int) -> None:
+    def settle(least: int, more: np.ndarray) -> None:
         nonlocal tokens, counts
-        every = np.concatenate([tokens, *waiting])
-        n = np.concatenate([counts, np.ones(len(every) - len(tokens), dtype=np.int64)])
-        waiting.clear()
+        every = np.concatenate([tokens, more])
+        n = np.concatenate([counts, np.ones(len(more), dtype=np.int64)])
         tokens, slot = np.unique(every, return_inverse=True)
         counts = np.bincount(slot, weights=n, minlength=len(tokens)).astype(np.int64)
         keep = counts >= least
@@ -62,12 +64,17 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, data in group:
                 own = shingles(data)
                 out.append((b["doc_id"].iloc[i], len(own), _digest(own)))
-                waiting.append(own)
-            if sum(map(len, waiting)) > 1 << 21:
-                settle(2)
+                if n_waiting + len(own) > HELD:
+                    settle(2, waiting[:n_waiting])
+                    n_waiting = 0
+                    if len(own) > HELD:
+                        settle(1, own)
+                        continue
+                waiting[n_waiting : n_waiting + len(own)] = own
+                n_waiting += len(own)
         yield pd.DataFrame(out, columns=["doc_id", "n", "digest"]).assign(kind=DOCS, token=0)
-    if waiting or len(tokens):
-        settle(TASK_LEAST)
+    if n_waiting or len(tokens):
+        settle(TASK_LEAST, waiting[:n_waiting])
         top = np.argsort(-counts, kind="stable")[:TASK_FREQUENT]
         yield pd.DataFrame({"token": tokens[top].view(np.int64), "n": counts[top], "kind": TOKENS, "digest": "", "doc_id": None})
 
@@ -85,23 +92,14 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, order: np.uint
 def _post(batches: Iterator[pd.DataFrame], common: np.ndarray, rank: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
     """Prefix tokens by order and bucket; of equal sets in a task only the first is posted."""
     seen: set[bytes] = set()
-    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    tokens, places, bucket, n = np.empty(HELD, dtype=np.uint64), np.empty(HELD, dtype=PLACE), np.empty(HELD, dtype=np.int64), 0
 
-    def flush() -> pd.DataFrame:
-        out = []
-        for k in range(len(ORDERS)):
-            tokens = np.concatenate([t for o, t, _ in held if o == k])
-            rows = np.concatenate([r for o, _, r in held if o == k])
-            bucket = (tokens >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            low = tokens[order].view(np.uint8).reshape(-1, 8)[:, :5]
-            for j in range(buckets):
-                if cuts[j] < cuts[j + 1]:
-                    s = slice(cuts[j], cuts[j + 1])
-                    out.append((k, j, low[s].tobytes(), rows[order][s].tobytes()))
-        held.clear()
-        return pd.DataFrame(out, columns=["order", "bucket", "tokens", "places"])
+    def packed(tokens: np.ndarray, places: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(bucket, kind="stable")
+        kinds, cuts = np.unique(bucket[order], return_index=True)
+        low, rows = tokens[order].view(np.uint8).reshape(-1, 8)[:, :5], places[order]
+        spans = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        return pd.DataFrame({"order": kinds // buckets, "bucket": kinds % buckets, "tokens": [low[x].tobytes() for x in spans], "places": [rows[x].tobytes() for x in spans]})
 
     for b in batches:
         for group in gathered(b["text"]):
@@ -115,11 +113,18 @@ def _post(batches: Iterator[pd.DataFrame], common: np.ndarray, rank: np.ndarray,
                     first = prefix(own, common, rank, order)
                     place = np.empty(len(first), dtype=PLACE)
                     place["doc_id"], place["pos"], place["n"] = b["doc_id"].iloc[i], np.arange(len(first)), len(own)
-                    held.append((k, first, place))
-            if sum(len(t) for _, t, _ in held) > 1 << 20:
-                yield flush()
-    if held:
-        yield flush()
+                    where = ((first >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64) + k * buckets
+                    if n + len(first) > HELD:
+                        yield packed(tokens[:n], places[:n], bucket[:n])
+                        n = 0
+                    if len(first) > HELD:
+                        yield packed(first, place, where)
+                        continue
+                    at = slice(n, n + len(first))
+                    tokens[at], places[at], bucket[at] = first, place, where
+                    n += len(first)
+    if n:
+        yield packed(tokens[:n], places[:n], bucket[:n])
 
 
 PLACE = np.dtype([("doc_id", "<i8"), ("pos", "<i4"), ("n", "<i4")])
