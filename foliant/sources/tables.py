@@ -24,9 +24,9 @@ def only_pdf(files: DataFrame) -> DataFrame:
     return files.where((F.substring("content", 1, 4) == F.lit(b"%PDF")) & (F.length("content") > 32))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Record files of both generations; absent fields are null."""
-    return spark.read.schema(RECORD).option("multiLine", True).json(path)
+def read_records(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Record files of both generations, absent fields null: one pretty object a file, or one object a line."""
+    return spark.read.schema(RECORD).option("multiLine", one_per_file).json(path)
 
 
 def write_records(records: DataFrame, path: str) -> None:
