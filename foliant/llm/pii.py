@@ -219,10 +219,14 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redacted(text: str, model: dict[str, list[float]]) -> str:
-    out, at = [], 0
-    for k, s, e, v in sorted(candidates(text), key=lambda c: (c[1], -c[2])):
-        if accepted(model, k, v):
+    """The text without accepted spans, read again until there is none: a cut can complete a span beside it."""
+    while True:
+        spans = sorted((s, -e, k) for k, s, e, v in candidates(text) if accepted(model, k, v))
+        if not spans:
+            return text
+        out, at = [], 0
+        for s, e, k in spans:
             if s >= at:
                 out += [text[at:s], f"<{k.upper()}>"]
-            at = max(at, e)
-    return "".join([*out, text[at:]])
+            at = max(at, -e)
+        text = "".join([*out, text[at:]])
