@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import frequent, materialize, shuffle_partitions, spread_join
+from foliant.llm.common import frequent, give_back, materialize, shuffle_partitions, small_batches, spread_join
 from foliant.llm.components import components
 from foliant.llm.wordhash import gathered, mix, runs, word_hashes
 
@@ -73,6 +73,7 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 waiting[n_waiting : n_waiting + len(own)] = own
                 n_waiting += len(own)
         yield pd.DataFrame(out, columns=["doc_id", "n", "digest"]).assign(kind=DOCS, token=0)
+        give_back()
     if n_waiting or len(tokens):
         settle(TASK_LEAST, waiting[:n_waiting])
         top = np.argsort(-counts, kind="stable")[:TASK_FREQUENT]
@@ -90,8 +91,7 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, order: np.uint
 
 
 def _post(batches: Iterator[pd.DataFrame], common: np.ndarray, rank: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
-    """Prefix tokens by order and bucket; of equal sets in a task only the first is posted."""
-    seen: set[bytes] = set()
+    """Prefix tokens by order and bucket."""
     tokens, places, bucket, n = np.empty(HELD, dtype=np.uint64), np.empty(HELD, dtype=PLACE), np.empty(HELD, dtype=np.int64), 0
 
     def packed(tokens: np.ndarray, places: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
@@ -105,10 +105,8 @@ def _post(batches: Iterator[pd.DataFrame], common: np.ndarray, rank: np.ndarray,
         for group in gathered(b["text"]):
             for i, data in group:
                 own = shingles(data)
-                key = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                if not len(own) or key in seen:
+                if not len(own):
                     continue
-                seen.add(key)
                 for k, order in enumerate(ORDERS):
                     first = prefix(own, common, rank, order)
                     place = np.empty(len(first), dtype=PLACE)
@@ -123,6 +121,7 @@ def _post(batches: Iterator[pd.DataFrame], common: np.ndarray, rank: np.ndarray,
                     at = slice(n, n + len(first))
                     tokens[at], places[at], bucket[at] = first, place, where
                     n += len(first)
+        give_back()
     if n:
         yield packed(tokens[:n], places[:n], bucket[:n])
 
@@ -144,7 +143,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     same[:-1] |= same[1:]
     at = order[same]
     bucket = int(pdf["bucket"].iloc[0])
-    return pd.DataFrame({"order": pdf["order"].iloc[0], "token": (tokens[at].astype(np.int64) | np.int64(bucket % (1 << 23)) << 40), "doc_id": places["doc_id"][at], "pos": places["pos"][at], "n": places["n"][at]})
+    return pd.DataFrame({"order": pdf["order"].iloc[0], "token": (tokens[at].astype(np.int64) | np.int64(bucket % (1 << 23)) << 40), "doc": places["doc_id"][at], "pos": places["pos"][at], "n": places["n"][at]})
 
 
 def _enough(common: Column, a: Column, b: Column) -> Column:
@@ -152,10 +151,10 @@ def _enough(common: Column, a: Column, b: Column) -> Column:
     return (100 + PERCENT) * common >= PERCENT * (a + b)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and all shingles of the wanted documents (one column, doc_id)."""
+def _among(ids: DataFrame) -> Column:
+    """Whether a doc_id may be among these: a filter of FILTER_BITS, which the driver gets as at most that many bits."""
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(spot.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
+    words = ids.select(spot.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bits[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
     flags = np.unpackbits(bits.view(np.uint8), bitorder="little")
@@ -164,12 +163,20 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def may(p: pd.Series) -> pd.Series:
         return pd.Series(flags[p.to_numpy()].astype(bool))
 
+    return may(spot)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and all shingles of the wanted documents (one column, doc_id); more than one row if texts of an id differ."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "own": [shingles((t or "").encode("utf-8", "surrogatepass")).tobytes() for t in b["text"]]})
+            own = [shingles((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": [_digest(x) for x in own], "own": [x.tobytes() for x in own]})
+            give_back()
 
-    near = docs.where(F.col("doc_id").isNotNull()).where(may(spot))
-    return near.join(wanted, "doc_id", "left_semi").mapInPandas(read, "doc_id long, own binary")
+    near = docs.where(F.col("doc_id").isNotNull()).where(_among(wanted))
+    return near.join(wanted, "doc_id", "left_semi").mapInPandas(read, "doc_id long, digest string, own binary").dropDuplicates(["doc_id", "digest"])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,6 +187,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
         yield b[["a", "b"]][ok]
+        give_back()
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +209,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = materialize(docs.mapInPandas(_survey, "doc_id long, n long, digest string, kind int, token long"))
+    with small_batches(spark):
+        survey = materialize(docs.mapInPandas(_survey, "doc_id long, n long, digest string, kind int, token long"))
     sets = survey.where(F.col("kind") == DOCS).select("doc_id", "n", "digest")
     often = survey.where(F.col("kind") == TOKENS).groupBy("token").agg(F.sum("n").alias("n"))
     table = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
@@ -210,16 +219,21 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     common, rank = common[up], table["n"].to_numpy(dtype=np.int64)[up]
 
     known = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(spread_join(known.select("doc_id", "digest"), classes, "digest", frequent(known.select("digest"), "digest")).select("doc_id", "digest", "rep"))
+    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    hot = frequent(known.select("digest"), "digest")
+    copies = materialize(spread_join(known.select("doc_id", "digest"), classes.where("size > 1"), "digest", hot).select("doc_id", "rep"))
 
+    # Most documents are the only ones of their class and stay where they are; the others are joined with their classes.
     buckets = 2 * shuffle_partitions(spark)
-    posted = docs.where(F.col("doc_id").isNotNull()).mapInPandas(partial(_post, common=common, rank=rank, buckets=buckets), "order int, bucket long, tokens binary, places binary")
-    met = posted.groupBy("order", "bucket").applyInPandas(_meet, "order int, token long, doc_id long, pos int, n int")
-    by_rep = met.join(reps.select("doc_id", "rep"), "doc_id").groupBy("order", "token", F.col("rep").alias("doc")).agg(F.min("pos").alias("pos"), F.max("n").alias("n"))
-    by_rep = materialize(by_rep)
-    shared = by_rep.groupBy("order", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("order", "token")
-    postings = materialize(by_rep.join(shared, ["order", "token"]))
+    may_be_copy = _among(copies)
+    named_docs = docs.where(F.col("doc_id").isNotNull())
+    several = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1")
+    others = copies.where("doc_id != rep").select("doc_id").distinct().join(several, "doc_id", "left_anti")
+    first_of = named_docs.where(may_be_copy).join(others, "doc_id", "left_anti")
+    posted = named_docs.where(~may_be_copy).unionByName(first_of).mapInPandas(partial(_post, common=common, rank=rank, buckets=buckets), "order int, bucket long, tokens binary, places binary")
+    met = posted.groupBy("order", "bucket").applyInPandas(_meet, "order int, token long, doc long, pos int, n int")
+    with small_batches(spark):
+        postings = materialize(met)
     first = postings.where("order = 0").drop("order")
     held = lambda k: F.collect_set(F.when(F.col("order") == k, F.col("token"))).alias(f"t{k}")
     facts = materialize(postings.groupBy("doc").agg(F.max("n").alias("n"), held(0), held(1)))
@@ -232,7 +246,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pivots = pivots.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p"))
     star = first.join(pivots, "token").where(F.col("doc") != F.col("p.doc")).where(_reach(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n")))
     tried = materialize(_pairs(star.select("doc", F.col("p.doc").alias("other")), facts))
-    links = materialize(_linked(docs, tried))
+    links = _linked(docs, tried)
 
     labels = components(links)
     named = first.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
@@ -244,14 +258,14 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     apart = (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("doc_a") < F.col("doc")))
     cross = minor.join(many, (minor["token"] == many["token"]) & apart & _reach(F.col("pos_a"), F.col("n_a"), F.col("pos"), F.col("n")))
     left = _pairs(cross.select("doc", F.col("doc_a").alias("other")), facts).join(tried, ["a", "b"], "left_anti")
-    links = materialize(links.unionByName(_linked(docs, materialize(left))))
+    links = links.unionByName(_linked(docs, materialize(left)))
 
     labels = components(links)
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
     counts = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     whole = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
     whole = whole.select("digest", F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    joined = spread_join(known, whole, "digest", frequent(known.select("digest"), "digest"))
+    joined = spread_join(known, whole, "digest", hot)
     rest = sets.where(F.col("doc_id").isNull() | (F.col("n") == 0)).withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
     return joined.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id")
 
@@ -277,6 +291,8 @@ def _pairs(found: DataFrame, facts: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets have the similarity."""
     wanted = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    own = materialize(_sets(docs, wanted).dropDuplicates(["doc_id"]))
+    with small_batches(docs.sparkSession):
+        own = materialize(_sets(docs, wanted))
     both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b")), "b")
-    return both.mapInPandas(_verify, "a long, b long")
+    with small_batches(docs.sparkSession):
+        return materialize(both.mapInPandas(_verify, "a long, b long").distinct())
