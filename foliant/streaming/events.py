@@ -31,10 +31,10 @@ def progress_percent(index: Column, total: Column) -> Column:
     return (30 + (index / total * 50).cast("int")).cast("int")
 
 
-def rate_limited(requests: DataFrame, key: str, limit: int = 6, seconds: int = 60) -> DataFrame:
+def rate_limited(requests: DataFrame, key: str, limit: int = 6, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """A stream of (key, ts, event_id) with accepted. Each key's state is the times accepted within the window.
 
-    Requests of a micro-batch are taken in time order; state goes when the window has passed without a request.
+    Requests of a micro-batch are taken in time order; state goes when the watermark has passed the window.
     """
 
     def admit(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,9 +50,9 @@ def rate_limited(requests: DataFrame, key: str, limit: int = 6, seconds: int = 6
             if accepted[-1]:
                 held.append(int(t))
         state.update((held,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(held[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: own[0], "event_id": rows["event_id"], "accepted": accepted})
 
     kind = requests.schema[key].dataType.simpleString()
-    picked = requests.select(key, "ts", "event_id")
-    return picked.groupBy(key).applyInPandasWithState(admit, f"{key} {kind}, event_id long, accepted boolean", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    picked = requests.select(key, "ts", "event_id").withWatermark("ts", late)
+    return picked.groupBy(key).applyInPandasWithState(admit, f"{key} {kind}, event_id long, accepted boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)

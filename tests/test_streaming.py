@@ -17,9 +17,8 @@ def stream(spark, tmp_path):
 
 
 def run(spark, df, mode, tmp_path, name):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     return spark.table(name)
 
 
