@@ -234,18 +234,22 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     met = posted.groupBy("order", "bucket").applyInPandas(_meet, "order int, token long, doc long, pos int, n int")
     with small_batches(spark):
         postings = materialize(met)
-    first = postings.where("order = 0").drop("order")
     held = lambda k: F.collect_set(F.when(F.col("order") == k, F.col("token"))).alias(f"t{k}")
     facts = materialize(postings.groupBy("doc").agg(F.max("n").alias("n"), held(0), held(1)))
-
-    place = F.struct("doc", "pos", "n")
-    central = first.join(facts.select("doc", F.size("t0").alias("central")), "doc")
-    pivots = central.groupBy("token").agg(
+    rows = postings.where("order = 0").select("token", "doc", "pos")
+    counted = rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    known_by = counted.groupBy("doc").agg(F.sum("df").alias("central"))
+    shown = facts.join(known_by, "doc").select("doc", "n", F.size("t0").alias("m0"), F.size("t1").alias("m1"), "central")
+    first = materialize(rows.join(shown, "doc"))
+
+    # The most central document of a token, whose tokens most others have, is the likeliest to link with the rest.
+    place = F.struct("doc", "pos", "n", "m0", "m1")
+    pivots = first.groupBy("token").agg(
         F.max_by(place, F.struct("central", -F.col("doc"))).alias("p0"), F.min_by(place, "doc").alias("p1"), F.min_by(place, F.xxhash64("doc")).alias("p2")
     )
     pivots = pivots.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p"))
-    star = first.join(pivots, "token").where(F.col("doc") != F.col("p.doc")).where(_reach(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n")))
-    tried = materialize(_pairs(star.select("doc", F.col("p.doc").alias("other")), facts))
+    star = first.join(pivots.select("token", *[F.col(f"p.{c}").alias(f"{c}_a") for c in PLACES]), "token").where((F.col("doc") != F.col("doc_a")) & _reach())
+    tried = materialize(_pairs(star.select("doc", F.col("doc_a").alias("other")), facts))
     links = _linked(docs, tried)
 
     labels = components(links)
@@ -254,9 +258,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     major = sizes.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count(F.lit(1)).alias("n_labels")).where("n_labels > 1").drop("n_labels")
     many = named.join(major, "token")
-    minor = many.where("label != major").select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc", "pos", "n", "label")])
+    minor = many.where("label != major").select("token", *[F.col(c).alias(f"{c}_a") for c in (*PLACES, "label")])
     apart = (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("doc_a") < F.col("doc")))
-    cross = minor.join(many, (minor["token"] == many["token"]) & apart & _reach(F.col("pos_a"), F.col("n_a"), F.col("pos"), F.col("n")))
+    cross = minor.join(many, (minor["token"] == many["token"]) & apart & _reach())
     left = _pairs(cross.select("doc", F.col("doc_a").alias("other")), facts).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(_linked(docs, materialize(left)))
 
@@ -270,9 +274,21 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return joined.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id")
 
 
-def _reach(pos_a: Column, n_a: Column, pos_b: Column, n_b: Column) -> Column:
-    """Whether sets that share the tokens at these places can have the similarity."""
-    return _enough(F.least(pos_a, pos_b) + 1 + F.least(n_a - pos_a, n_b - pos_b) - 1, n_a, n_b)
+def _reach() -> Column:
+    """Whether sets that share a token at these places (columns pos, n, m0, m1 and the same with _a) can be alike.
+
+    What they share lies before both places, after both, or here; and beyond the prefix that ends first they have
+    no more than its rest, within it no more than the tokens (m0, m1) that others have too. One is allowed for
+    tokens that look alike when cut to their posted bits.
+    """
+    of = lambda c: (F.col(c), F.col(f"{c}_a"))
+    sizes = of("n")
+    here = F.least(*of("pos")) + F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
+    beyond = F.ceil(F.greatest(*sizes) * PERCENT / 100)
+    return _enough(here, *sizes) & _enough(F.least(*of("m0")) + beyond, *sizes) & _enough(F.least(*of("m1")) + beyond, *sizes)
+
+
+PLACES = ("doc", "pos", "n", "m0", "m1")
 
 
 def _pairs(found: DataFrame, facts: DataFrame) -> DataFrame:
