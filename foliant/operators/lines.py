@@ -91,9 +91,24 @@ def reliable_text(pages: DataFrame, doc_col: str, text_col: str = "text", least_
 def similar_words(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """word, similar, distance: dictionary words within an edit distance.
 
-    Words whose lengths differ by more than the distance cannot match, so the join is an equi-join on length.
+    Cut into most + 1 parts, a dictionary word within the distance has a part that the other word has as well, at
+    most so many places away; so the join is an equi-join on length, part and place in order. Lower-cased words
+    are cut, as lower case changes the length of some.
     """
-    left = words.select("word", F.explode(F.sequence(F.greatest(F.length("word") - most, F.lit(0)), F.length("word") + most)).alias("n"))
-    right = dictionary.select(F.col("word").alias("similar"), F.length("word").alias("n"))
+    low, n, parts = F.lower("word"), F.length(F.lower("word")), most + 1
+    start = lambda n, i: F.floor(n * i / parts).cast("int")
+    key = lambda n, i, part: F.struct(n.alias("n"), i.alias("i"), part.alias("part"))
+    numbers = F.array(*[F.lit(i) for i in range(parts)])
+    right = dictionary.select(F.col("word").alias("similar"), F.explode(F.transform(numbers, lambda i: key(n, i, F.substring(low, start(n, i) + 1, start(n, i + 1) - start(n, i))))).alias("key"))
+
+    def places(of: Column, i: Column) -> Column:
+        first, size = start(of, i), start(of, i + 1) - start(of, i)
+        at = F.filter(F.sequence(first - most, first + most), lambda q: (q >= 0) & (q <= F.col("n") - size))
+        return F.transform(at, lambda q: key(of, i, F.substring(F.col("low"), q + 1, size)))
+
+    lengths = F.sequence(F.greatest(F.col("n") - most, F.lit(0)), F.col("n") + most)
+    keys = F.flatten(F.transform(lengths, lambda of: F.flatten(F.transform(numbers, lambda i: places(of, i)))))
+    left = words.select("word", low.alias("low"), n.alias("n")).select("word", F.explode(F.array_distinct(keys)).alias("key"))
     distance = F.levenshtein(F.lower("word"), F.lower("similar"), most)
-    return left.join(right, "n").select("word", "similar", distance.alias("distance")).where("distance >= 0")
+    pairs = left.join(right, "key").select("word", "similar", distance.alias("distance")).where("distance >= 0")
+    return pairs.distinct()

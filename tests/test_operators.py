@@ -1,12 +1,14 @@
 """Operators over lines, regions, attempts and stores."""
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
 from foliant.functions import structure
 from foliant.operators import images, layout, lines, select, store
 from foliant.plans import pipeline
+from foliant.plans.queries import QUERIES
 from foliant.sources import tables
 
 
@@ -46,6 +48,30 @@ def test_similar_words(spark):
     assert {(r["similar"], r["distance"]) for r in lines.similar_words(words, dictionary).collect()} == {("sitten", 1), ("Kitten", 0)}
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def write(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_similar_words_of_whole_texts(spark, tmp_path):
+    texts, entries = ["Über die Brücke, dann weiter.", "ein İİİ Wort x1-y2", "日本語 kitten", "", None], ["uber brucke Brücken", "iii weitet. x1-y3, 日本 sitting", None]
+    write(spark, tmp_path, "conversations", list(enumerate(texts)), "conv_id long, text string")
+    write(spark, tmp_path, "benchmark", list(enumerate(entries)), "item_id long, text string")
+    words = lambda ts: {w for t in ts if t for w in re.split(r"[\s.,]+", t) if w}
+    want = {(a, b, d) for a in words(texts) for b in words(entries) if (d := distance(a.lower(), b.lower())) <= 2}
+    got = QUERIES["similar_words_whole"](spark, str(tmp_path)).collect()
+    assert {(r["word"], r["similar"], r["distance"]) for r in got} == want and len(got) == len(want)
+    assert {("Brücke", "Brücken", 1), ("日本語", "日本", 1), ("weiter", "weitet", 1)} <= want
+
+
 def test_low_confidence_needs_tokens_that_are_good(spark):
     df = docs(spark, "### --- ### ---\nx", "### --- ### ---\nx", "### --- ### ---\nx")
     tokens = spark.createDataFrame([(0, 90.0), (1, 5.0), (1, -1.0)], "doc_id long, conf double")
