@@ -3,11 +3,12 @@
 import datetime
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliant.functions import structure
 from foliant.operators import images, layout, lines, select, store
-from foliant.plans import pipeline
+from foliant.plans import pipeline, queries_store  # noqa: F401  it registers its queries
 from foliant.plans.queries import QUERIES
 from foliant.sources import tables
 
@@ -72,6 +73,17 @@ def test_similar_words_of_whole_texts(spark, tmp_path):
     assert {("Brücke", "Brücken", 1), ("日本語", "日本", 1), ("weiter", "weitet", 1)} <= want
 
 
+def test_cosine_topk_of_the_stated_set(spark, tmp_path):
+    vectors = np.random.default_rng(3).normal(size=(130, 6)).astype(np.float32)
+    write(spark, tmp_path, "embeddings", [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T
+    want = {(q, k + 1, int(i)) for q in range(0, 130, 20) for k, i in enumerate([i for i in np.argsort(-near[q]) if i != q][:5])}
+    got = QUERIES["cosine_topk_whole"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want and len(got) == 35
+    assert all(abs(r["similarity"] - near[r["query_id"], r["vec_id"]]) < 1e-6 for r in got)
+
+
 def test_low_confidence_needs_tokens_that_are_good(spark):
     df = docs(spark, "### --- ### ---\nx", "### --- ### ---\nx", "### --- ### ---\nx")
     tokens = spark.createDataFrame([(0, 90.0), (1, 5.0), (1, -1.0)], "doc_id long, conf double")
