@@ -73,6 +73,13 @@ def test_similar_words_of_whole_texts(spark, tmp_path):
     assert {("Brücke", "Brücken", 1), ("日本語", "日本", 1), ("weiter", "weitet", 1)} <= want
 
 
+def test_edit_distance_of_whole_texts(spark, tmp_path):
+    texts = ["naïve café", "naive cafe", "日本語のテキスト", "日本のテキスト\n\t", "", "é😀"]
+    write(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
+    got = {r["a"]: r["distance"] for r in QUERIES["edit_distance_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: distance(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))} and got[0] == 2
+
+
 def test_cosine_topk_of_the_stated_set(spark, tmp_path):
     vectors = np.random.default_rng(3).normal(size=(130, 6)).astype(np.float32)
     write(spark, tmp_path, "embeddings", [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
