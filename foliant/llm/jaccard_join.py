@@ -29,6 +29,11 @@ FILTER_BITS = 1 << 23
 #: Hashes that a task gathers before it passes them on.
 HELD = 1 << 19
 
+#: Sets and bytes of sets in a block of a component, about: links are counted in pairs of blocks.
+BLOCK, BLOCK_BYTES = 512, 1 << 23
+#: Tokens that a strip of a block's matrix has.
+STRIP = 4096
+
 DOCS, TOKENS = 0, 1
 
 
@@ -190,14 +195,14 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         give_back()
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row doc_id, n_shingles, n_links and component_id.
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
+    """Per input row doc_id, n_shingles, n_links (if with_links) and component_id.
 
     A-Z are lower-cased; words are runs of other than ASCII white space; a set holds the distinct five-word
     shingles of the whole text, or the whole sequence of fewer words. Documents link at a Jaccard similarity of
     0.75 or more; those without words link with nothing. component_id is the smallest doc_id that links lead to.
-    n_links is the number of links found to documents of other sets; links within a component that another path
-    already gives need not be among them. Rows that share a doc_id are one node; rows without one are alone.
+    n_links is the number of other sets in the table with the similarity to the row's own, however many documents
+    have each. Rows that share a doc_id are one node; rows without one are alone.
 
     Equal sets form a class at first, known by its smallest doc_id. Each order posts the prefix tokens of the
     classes; a token's postings are packed by bucket, and those with one document end there. Candidates must
@@ -205,7 +210,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     First every document meets the most central, the smallest and one random document of each of its tokens;
     then, exhaustively, those that are still in different components meet. So a group of near copies costs pairs
     in proportion to its size, and every link between components is tried. Frequent tokens come last in both
-    orders; the table of them is bounded, and any table keeps the result exact.
+    orders; the table of them is bounded, and any table keeps the result exact. Links are counted at the end, when
+    they can only be within a component: all its sets meet, in pairs of blocks, and only sums leave a task.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -265,13 +271,86 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = links.unionByName(_linked(docs, materialize(left)))
 
     labels = components(links)
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
-    counts = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    whole = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    whole = whole.select("digest", F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    joined = spread_join(known, whole, "digest", hot)
-    rest = sets.where(F.col("doc_id").isNull() | (F.col("n") == 0)).withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
-    return joined.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id")
+    whole = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("label", "rep").alias("component_id"))
+    if with_links:
+        whole = materialize(whole)
+        whole = whole.join(_link_counts(docs, whole), "digest", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    joined = spread_join(known, whole.drop("rep"), "digest", hot)
+    rest = sets.where(F.col("doc_id").isNull() | (F.col("n") == 0)).withColumn("component_id", F.col("doc_id"))
+    if with_links:
+        rest = rest.withColumn("n_links", F.lit(0).cast("long"))
+    return joined.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), *["n_links"] * with_links, "component_id")
+
+
+def _link_counts(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """digest and n_links of the sets (digest, rep, component_id) that are not alone in their component.
+
+    A component's sets are dealt into blocks, and each pair of its blocks is a group of its own. Components of one
+    block share groups, as many as keep these at the size of a block.
+    """
+    spark = docs.sparkSession
+    several = whole.groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component_id")
+    members = materialize(whole.join(several, "component_id"))
+    with small_batches(spark):
+        own = materialize(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct()))
+    own = own.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"])
+    sizes = own.groupBy("component_id").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("own")).alias("bytes"))
+    sizes = materialize(sizes.select("component_id", "bytes", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    small = sizes.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    groups = max(2 * shuffle_partitions(spark), -(-small // BLOCK_BYTES))
+    dealt = own.join(sizes.drop("bytes"), "component_id").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component_id"), F.lit(groups))).otherwise(F.lit(-1) - F.col("component_id"))
+    met = met.select((F.col("blocks") == 1).alias("small"), shared.alias("at"), "i", "j", "component_id", "block", "digest", "own")
+    counts = met.groupBy("small", "at", "i", "j").applyInPandas(_count, "digest string, n long")
+    with small_batches(spark):
+        return materialize(counts.groupBy("digest").agg(F.sum("n").alias("n_links")))
+
+
+def _count(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one pair of blocks, or of several whole components: digest and the links of its set, where there are any."""
+    digests, counts = [], []
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    for _, part in pdf.groupby("component_id", sort=False):
+        block = part["block"].to_numpy()
+        sides = [part[block == x] for x in ((i,) if i == j else (i, j))]
+        alike = _alike(*[[np.frombuffer(x, dtype=np.uint64) for x in sides[k]["own"]] for k in (0, -1)])
+        if i == j:
+            np.fill_diagonal(alike, False)
+        for axis, side in enumerate(sides):
+            digests.append(side["digest"].to_numpy())
+            counts.append(alike.sum(axis=1 - axis))
+    out = pd.DataFrame({"digest": np.concatenate(digests), "n": np.concatenate(counts)})
+    give_back()
+    return out[out["n"] > 0]
+
+
+def _alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Which sets of a have the similarity with which of b, as a matrix of truth values."""
+    n_a, n_b = (np.array([len(x) for x in s], dtype=np.int64) for s in (a, b))
+    both = np.zeros((len(a), len(b)), dtype=np.int64)
+    if not len(a) or not len(b):
+        return both > 0
+    all_a, all_b = np.concatenate(a), np.concatenate(b)
+    tokens = np.intersect1d(all_a, all_b)
+    rows = []
+    for every, n in ((all_a, n_a), (all_b, n_b)):
+        at = np.minimum(np.searchsorted(tokens, every), max(len(tokens) - 1, 0))
+        known = tokens[at] == every if len(tokens) else np.zeros(len(every), dtype=bool)
+        at, row = at[known], np.repeat(np.arange(len(n)), n)[known]
+        order = np.argsort(at, kind="stable")
+        rows.append((at[order], row[order]))
+    for start in range(0, len(tokens), STRIP):  # sums of a strip are exact in single precision
+        width = min(STRIP, len(tokens) - start)
+        strips = []
+        for (at, row), n in zip(rows, (n_a, n_b), strict=True):
+            lo, hi = np.searchsorted(at, [start, start + width])
+            strip = np.zeros((len(n), width), dtype=np.float32)
+            strip[row[lo:hi], at[lo:hi] - start] = 1
+            strips.append(strip)
+        both += (strips[0] @ strips[1].T).astype(np.int64)
+    return (both > 0) & (100 * both >= PERCENT * (n_a[:, None] + n_b[None, :] - both))
 
 
 def _reach() -> Column:

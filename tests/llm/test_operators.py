@@ -128,6 +128,22 @@ def test_similarity(spark):
     assert got(alone, "doc_id", "component_id") == [(1, 1), (1, 1), (None, None)]
 
 
+@pytest.mark.parametrize("block", [None, 7])
+def test_links_of_near_copies(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    base, texts = prose(21, 200).split(), []
+    for i in range(40):
+        texts.append(" ".join([*base[: 5 * i], f"own{i}", *base[5 * i + 1 :]]))
+    pair = prose(22, 100)
+    rows, df = docs(spark, [*texts, texts[0], pair, pair + " more", prose(23, 80), None])
+    sets = [set(zip(*[(t or "").lower().split()[k:] for k in range(5)], strict=False)) for _, t in rows]
+    others = {frozenset(s) for s in sets}
+    want = [(i, sum(100 * len(s & o) >= 75 * len(s | o) for o in others if o and o != s) if s else 0) for (i, _), s in zip(rows, sets, strict=True)]
+    assert got(jaccard_join.similarity_components(df), "doc_id", "n_links") == sorted(want, key=repr)
+    assert want[0] == (0, 39) and want[40] == (40, 39) and want[41] == (41, 1)
+
+
 def test_topk(spark):
     r = np.random.default_rng(5)
     rows = [(i, r.normal(size=8).round(2).tolist()) for i in range(700)]
