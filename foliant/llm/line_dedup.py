@@ -1,7 +1,9 @@
-"""Line deduplication over content-defined chunks of lines, in DataFrame functions only."""
+"""Line deduplication over runs of lines or content-defined chunks of them, in DataFrame functions only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ def _chunks(rows: DataFrame, modulus: int) -> DataFrame:
     return ended.select("row_key", "row_id", F.explode(chunk).alias("c")).select("row_key", "row_id", "c.*")
 
 
+def _runs(rows: DataFrame, n: int) -> DataFrame:
+    """rows (row_key, row_id, lines) by run of n lines that follow each other, one from every line: columns as in _chunks."""
+    hashed = rows.where(F.size("lines") >= n).select("row_key", "row_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    starts = F.sequence(F.lit(0), F.size("hashes") - n)
+    run = F.transform(starts, lambda a: F.struct(a.alias("start"), F.lit(n).alias("size"), F.xxhash64(F.slice("hashes", a + 1, F.lit(n))).alias("hash")))
+    return hashed.select("row_key", "row_id", F.explode(run).alias("c")).select("row_key", "row_id", "c.*")
+
+
 def _body(lines: Column, start: Column, size: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, size), "\n")
 
@@ -42,9 +52,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one document and are cut alike. Chunk counts use partial aggregation; chunks above 1/512 of all (Misra-Gries)
     meet their first text by broadcast, the others by shuffle.
     """
+    return _cut(docs, id_col, text_col, lambda base: _chunks(base, modulus).where(F.col("size") >= least_lines))
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2) -> DataFrame:
+    """docs with every repeated passage of at least least_lines lines cut from the text, and ``n_lines_removed``.
+
+    A line goes if it lies in a run of least_lines lines that stands at an earlier place (as in line_dedup) of the
+    table too. Runs start at every line, so a passage goes to its last line wherever it begins and whatever is
+    around it; runs may overlap. Each line's first place in the table always stays. All else is as in line_dedup.
+    """
+    return _cut(docs, id_col, text_col, lambda base: _runs(base, least_lines))
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, pieces: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the pieces of text (row_key, row_id, start, size, hash) that stand at an earlier place too."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     base = docs.select(key.alias("row_key"), F.col(id_col).alias("row_id"), F.split(text_col, "\n").alias("lines")).where("lines is not null")
-    rows = materialize(_chunks(base, modulus).where(F.col("size") >= least_lines))
+    rows = materialize(pieces(base))
     place = F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "row_key", "start")
     facts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
     hot = frequent(rows.select("hash"), "hash")
@@ -58,18 +83,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short = kept.where(F.octet_length("kept_body") <= BROADCAST_BYTES).select("hash")
     near = materialize(short.join(F.broadcast(hot), "hash", "left_semi").coalesce(1))
     same = spread_join(bodies.where("not is_first"), kept, "hash", near).where("body = kept_body")
-    cut = same.groupBy("row_key").agg(F.collect_set(F.struct("start", "size")).alias("cut"))
+    span = F.sequence("start", F.col("start") + F.col("size") - 1)
+    cut = same.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_list(span))).alias("cut"))
     whole = docs.select(F.struct("*").alias("doc"), key.alias("row_key"))
-    joined = whole.join(cut.hint("shuffle_hash"), "row_key", "left")
-    stays = lambda _, i: ~F.exists("cut", lambda c: (c["start"] <= i) & (i < c["start"] + c["size"]))
-    text = F.col("doc")[text_col]
-    left = F.when(F.col("cut").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
-    gone = F.aggregate("cut", F.lit(0), lambda n, c: n + c["size"])
+    joined = whole.join(cut.hint("shuffle_hash"), "row_key", "left").withColumn("lines", F.when(F.col("cut").isNotNull(), F.split(F.col("doc")[text_col], "\n")))
+    kept_lines = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "cut")
+    left = F.when(F.col("cut").isNull(), F.col("doc")[text_col]).otherwise(F.array_join(F.transform(kept_lines, lambda i: F.get("lines", i)), "\n"))
     columns = [left.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(gone, F.lit(0)).cast("long").alias("n_lines_removed"))
+    gone = F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut"))
+    return joined.select(*columns, gone.cast("long").alias("n_lines_removed"))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines_removed and the digest of the text that is left."""
-    out = line_dedup(docs)
+    out = passage_dedup(docs)
     return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text"), 256).alias("text_sha256"))

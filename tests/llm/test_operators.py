@@ -205,6 +205,29 @@ def test_lines(spark):
     assert sum(want) > 0 and line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_lines_of_planted_passages(spark):
+    r = random.Random(8)
+    passages = [[f"passage {k} line {i}" for i in range(k)] for k in range(2, 13)]
+    texts = []
+    for d in range(60):
+        lines = [f"own {d} {i}" for i in range(r.randint(3, 9))]
+        for p in r.sample(passages, 3):
+            at = r.randint(0, len(lines))
+            lines[at:at] = p
+        texts.append("\n".join(lines))
+    rows, df = docs(spark, [*texts, *TEXTS, texts[5], "a\nb\nc", "b\nc\nd", "c\nd"])
+    seen, want = set(), []
+    for i, t in rows:
+        lines, gone = (t or "").split("\n") if t is not None else [], set()
+        for k, run in enumerate(zip(lines, lines[1:], strict=False)):
+            gone.update((k, k + 1) if run in seen else ())
+            seen.add(run)
+        left = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        want.append((i, len(gone), None if left is None else brute.sha(left)))
+    assert got(line_dedup.line_digest(df), "doc_id", "n_lines_removed", "text_sha256") == sorted(want, key=repr)
+    assert line_dedup.line_digest(df.limit(0)).count() == 0 and [w[1] for w in want[-3:]] == [0, 2, 2]
+
+
 def test_language_on_rows_held_out(spark):
     all_docs = table(spark, SF, "documents")
     profiles = language.fit_profiles(all_docs.where("doc_id % 2 = 0"), sample=80)
