@@ -1,11 +1,13 @@
 """Hashes of words and of runs of words, worked out over whole buffers with numpy.
 
-A word is a maximal run of bytes other than ASCII white space. Its hash is a polynomial in its bytes modulo
-2 ** 64, mixed; it depends on the word alone, not on its place.
+A word is a maximal run of bytes other than ASCII white space. Up to 16 bytes of it are read as two numbers, which
+are mixed in turn with its size; longer words have a BLAKE2 digest. No polynomial of the bytes is used: modulo
+2 ** 64, words that differ would meet under any base.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -14,7 +16,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 WORD_BASE = 0xD6E8FEB86659FD93
-#: Bytes hashed at once.
+#: Bytes of texts worked on at once, about.
 BUFFER = 1 << 20
 
 SPACES = np.zeros(256, dtype=bool)
@@ -30,6 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_BY_SIZE = [mix(np.arange(18, dtype=np.uint64) + np.uint64(WORD_BASE ^ seed << 32)) for seed in range(2)]
+
+
 @cache
 def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -41,22 +47,23 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers(base, 1 << max(n - 1, 1).bit_length())
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word."""
+def word_hashes(data: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word. Hashes under different seeds are independent of each other."""
     buf = np.frombuffer(data, dtype=np.uint8)
     word = ~SPACES[buf]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    parts, at = [], 0
-    while at < len(starts):  # whole words of about a buffer; a longer word alone
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BUFFER, side="right")))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(BASE, hi - lo)[: hi - lo], out=sums[1:])
-        a, b = starts[at:to] - lo, ends[at:to] - lo
-        parts.append(mix((sums[b] - sums[a]) * powers(INVERSE, hi - lo + 1)[a] + (b - a).astype(np.uint64)))
-        at = to
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), starts, ends
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts, ends
+    eights = np.ndarray(len(data) + 9, dtype="<u8", buffer=data + bytes(16), strides=(1,))
+    size = ends - starts
+    out = _BY_SIZE[seed][np.minimum(size, 17)]
+    out = mix(out ^ (eights[starts] & _MASK[np.minimum(size, 8)]))
+    out = mix((out + np.uint64(BASE)) ^ (eights[starts + 8] & _MASK[np.clip(size - 8, 0, 8)]))
+    for i in np.flatnonzero(size > 16):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out, starts, ends
 
 
 def runs(hashes: np.ndarray, n: int, base: int = WORD_BASE) -> np.ndarray:
