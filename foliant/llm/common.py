@@ -60,16 +60,17 @@ def frequent(rows: DataFrame, key: str, support: float = 1 / 512) -> DataFrame:
     return materialize(rows.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key)).where(F.col(key).isNotNull()))
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """While a job runs inside, Python workers get so many rows at once at most: whole texts are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+class small_batches(contextlib.nullcontext):  # noqa: N801
+    """From now on Python workers get so many rows at once at most: whole texts are long.
+
+    The setting of the session stays lowered, as operators return frames that run later.
+    """
+
+    def __init__(self, spark: SparkSession, rows: int = 500):
+        super().__init__()
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= rows:
+            spark.conf.set(name, str(rows))
 
 
 def give_back() -> None:
