@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import shuffle_partitions
-from foliant.llm.wordhash import WORD_BASE, runs, word_hashes
+from foliant.llm.common import give_back, shuffle_partitions
+from foliant.llm.wordhash import runs, word_hashes
 
 #: Of a block's hash so many low bits are kept beside its bucket, with two flags; what they confuse, extension sorts out.
 KEPT_BITS = 38
-SECOND_BASE = 0xA24BAED4963EE407
+#: Bytes of text in a chunk, and of entries in a bucket, about.
+CHUNK_BYTES = 1 << 22
 
 
 class Chunk:
@@ -62,9 +63,10 @@ class Chunk:
         return out
 
     def windows(self, starts: list[np.ndarray], buckets: int) -> tuple[np.ndarray, ...]:
-        """Bucket, 96-bit fingerprint and "occurs twice in this chunk" of each distinct candidate window; the entry of each."""
-        a = np.concatenate([runs(w, self.window, WORD_BASE)[s] if len(s) else np.zeros(0, np.uint64) for w, s in zip(self.words, starts, strict=True)])
-        c = np.concatenate([runs(w, self.window, SECOND_BASE)[s] if len(s) else np.zeros(0, np.uint64) for w, s in zip(self.words, starts, strict=True)]) >> np.uint64(33)
+        """Bucket, fingerprint of 95 bits from two independent hashes of each word and "occurs twice in this chunk" of each distinct candidate window; the entry of each."""
+        none = np.zeros(0, np.uint64)
+        a = np.concatenate([runs(w, self.window)[s] if len(s) else none for w, s in zip(self.words, starts, strict=True)])
+        c = np.concatenate([runs(word_hashes(t, 1)[0], self.window)[s] if len(s) else none for t, s in zip(self.texts, starts, strict=True)]) >> np.uint64(33)
         bucket = (a >> np.uint64(20)) % np.uint64(buckets)
         order = np.lexsort((c, a, bucket))
         b, x, y = bucket[order], a[order], c[order]
@@ -171,6 +173,7 @@ def _remove(docs: pd.DataFrame, hits: pd.DataFrame, repeats: pd.DataFrame, windo
         words = data.split()
         left = b" ".join(words if not len(s) else [x for x, g in zip(words, gone.tolist(), strict=True) if not g])
         out.append((doc_id, len(w), int(gone.sum()), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass") if emit_text else None))
+    give_back()
     return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
@@ -182,17 +185,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Reference blocks are the whole, non-overlapping runs of (window + 1) // 2 words from each text's start: every
     window holds one. They are probed with all rolling hashes; a block met elsewhere is extended to the windows
-    that hold it, which a 96-bit fingerprint of their words compares, and their union is the maximal repeat.
+    that hold it, which fingerprints of 95 bits compare, made from two independent hashes of each word; their union
+    is the maximal repeat.
 
-    Documents are dealt by hash into chunks of a fixed order, so a chunk's entries can be worked out again and
-    answers to them are bits. Each chunk sends a distinct hash once, whatever its frequency: a passage in a third
-    of all rows is one entry a chunk. Long texts are hashed by parts. Rows equal in id and text lie in one chunk
+    Rows are dealt by their place in the table into chunks of a fixed order, so a chunk's entries can be worked out
+    again and answers to them are bits. Chunks follow the bytes of the texts. Each chunk sends a distinct hash once,
+    whatever its frequency: a passage in a third of all rows is one entry a chunk. Equal rows are spread like others
     and repeat each other.
     """
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    dealt = docs.select(F.pmod(key, F.lit(4 * n)).alias("chunk"), key.alias("row_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(shuffle_partitions(spark), size // (4 * CHUNK_BYTES))
+    placed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    dealt = placed.select(F.pmod(F.xxhash64("row_key"), F.lit(max(4 * n, size // CHUNK_BYTES))).alias("chunk"), "row_key", "doc_id", "text")
     kind = docs.schema[id_col].dataType.simpleString()
     entries, marks = "chunk long, bucket long, entries binary", "chunk long, bucket long, hits binary"
     chunks = dealt.groupBy("chunk")
