@@ -29,7 +29,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk_search.topk_search(table(spark, sf_dir, "embeddings"))
+    return topk_search.topk_search(table(spark, sf_dir, "embeddings")).drop("score_exact")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
