@@ -15,6 +15,9 @@ WS = r"[\s\x1c-\x1f]"
 
 # Letters that look alike in both scripts, lower then upper case.
 CYRILLIC, LATIN = "аеорсухАЕОРСУХ", "aeopcyxAEOPCYX"
+# The lower-case letters by which a script is told.
+LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyzʻ"
+CYRILLIC_LETTERS = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяўқғҳ"
 
 
 def blank_if_null(c: Column) -> Column:
@@ -49,9 +52,21 @@ def page_text(c: Column) -> Column:
 
 
 def normalize_path(c: Column) -> Column:
-    """Stripped of white space and double quotes, backslashes not doubled; empty or null is null."""
-    bare = F.regexp_replace(strip(c), r'^"+|"+\z', "")
-    return F.nullif(replaced(bare, (r"\\{2,}", r"\\"), (r"/{2,}", "/"), (r"(?<=.)/\z", "")), F.lit(""))
+    """Stripped of white space and double quotes, backslashes not doubled, . and .. resolved; empty or null is null.
+
+    Two slashes at the start stay, more become one; what leads above the start keeps its .., and a path of nothing is
+    a dot.
+    """
+    bare = F.regexp_replace(F.regexp_replace(strip(c), r'^"+|"+\z', ""), r"\\{2,}", r"\\")
+    lead = F.regexp_extract(bare, r"^(//(?!/)|/?)", 1)
+    parts = F.filter(F.split(bare, "/+"), lambda x: ~x.isin("", "."))
+
+    def step(acc: Column, x: Column) -> Column:
+        up = (x == "..") & (F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1))) != "..")
+        return F.when(F.coalesce(up, F.lit(False)), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when((x == "..") & (lead != "") & (F.size(acc) == 0), acc).otherwise(F.concat(acc, F.array(x)))
+
+    path = F.concat(lead, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(c != "", F.when(path == "", ".").otherwise(path))
 
 
 def clean_text(c: Column) -> Column:
@@ -123,11 +138,11 @@ def postocr_correct(c: Column) -> Column:
 
 
 def _script(c: Column) -> Column:
-    low = F.lower(c)
-    latin = F.length(F.regexp_replace(low, "[^a-zʻ]", ""))
-    cyrillic = F.length(F.regexp_replace(low, "[^абвгдеёжзийклмнопрстуфхцчшщъыьэюяўқғҳ]", ""))
-    ratio = latin / F.nullif(latin + cyrillic, F.lit(0))
-    return F.when(ratio > 0.7, "latin").when(ratio < 0.3, "cyrillic").when(ratio.isNull(), "unknown").otherwise("mixed")
+    """Letters are counted once by what their removal leaves; the share, bound to a lambda's variable, is worked out once."""
+    of = lambda low, letters: F.length(low) - F.length(F.translate(low, letters, ""))
+    counts = F.transform(F.array(F.lower(c)), lambda low: F.struct(of(low, LATIN_LETTERS).alias("l"), of(low, CYRILLIC_LETTERS).alias("c")))
+    ratios = F.transform(counts, lambda n: n["l"] / F.nullif(n["l"] + n["c"], F.lit(0)))
+    return F.transform(ratios, lambda r: F.when(r > 0.7, "latin").when(r < 0.3, "cyrillic").when(r.isNull(), "unknown").otherwise("mixed"))[0]
 
 
 def detect_script(c: Column) -> Column:
@@ -135,17 +150,21 @@ def detect_script(c: Column) -> Column:
 
 
 def mixed_script_fix(c: Column) -> Column:
-    """A mixed text's look-alikes are turned to the script that most words have, the first seen if several do."""
-    text = blank_if_null(c)
-    scripts = F.transform(F.filter(F.split(text, rf"(?U){WS}+"), lambda w: w != ""), _script)
-    return F.transform(F.array(F.struct(text.alias("t"), scripts.alias("s"))), _to_main)[0]
+    """A mixed text's look-alikes are turned to the script that most words have, the first seen if several do.
+
+    Only the words of mixed texts are looked at.
+    """
+    return F.transform(F.array(blank_if_null(c)), lambda t: F.when(_script(t) == "mixed", _to_main(t)).otherwise(t))[0]
+
+
+def _to_main(t: Column) -> Column:
+    scripts = F.transform(F.filter(F.split(t, rf"(?U){WS}+"), lambda w: w != ""), _script)
 
+    def main(s: Column) -> Column:
+        return F.array_max(F.transform(F.array_distinct(s), lambda k: F.struct(F.size(F.filter(s, lambda y: y == k)).alias("n"), (-F.array_position(s, k)).alias("p"), k.alias("k"))))["k"]
 
-def _to_main(x: Column) -> Column:
-    counted = F.transform(F.array_distinct(x["s"]), lambda k: F.struct(F.size(F.filter(x["s"], lambda y: y == k)).alias("n"), (-F.array_position(x["s"], k)).alias("p"), k.alias("k")))
-    main = F.array_max(counted)["k"]
-    fixed = F.when(main == "latin", F.translate(x["t"], CYRILLIC, LATIN)).when(main == "cyrillic", F.translate(x["t"], LATIN, CYRILLIC)).otherwise(x["t"])
-    return F.when(_script(x["t"]) == "mixed", fixed).otherwise(x["t"])
+    fixed = lambda k: F.when(k == "latin", F.translate(t, CYRILLIC, LATIN)).when(k == "cyrillic", F.translate(t, LATIN, CYRILLIC)).otherwise(t)
+    return F.transform(F.transform(F.array(scripts), main), fixed)[0]
 
 
 def ocr_lang_route(c: Column) -> Column:

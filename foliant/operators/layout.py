@@ -184,11 +184,14 @@ def region_text(tokens: DataFrame, key: str, least: float = 30.0) -> DataFrame:
 def segment_naming(regions: DataFrame) -> DataFrame:
     """File names of crops by global order.
 
-    Ranks inside a page plus the sizes of the pages before: only the page sizes, not the regions, meet in one task.
+    Regions are dealt by ranges of pages; a region's number is its rank in its range plus the sizes of the ranges before,
+    and only those sizes, one a partition, meet in one task.
     """
-    sizes = regions.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("page_id", (F.sum("n").over(Window.orderBy("page_id")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("page_id").orderBy("region_id")) - 1
-    ranked = regions.select("region_id", "page_id", within.alias("within")).join(before, "page_id")
-    number = F.col("before") + F.col("within")
+    ranged = regions.select("region_id", "page_id").repartitionByRange("page_id").withColumn("range", F.spark_partition_id())
+    spans = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+    before = spans.select("range", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("page_id", "region_id")) - 1
+    within = F.row_number().over(Window.partitionBy("range", "page_id").orderBy("region_id")) - 1
+    ranked = ranged.withColumns({"inside": inside, "within": within}).join(F.broadcast(before), "range")
+    number = F.col("before") + F.col("inside")
     return ranked.select("region_id", F.format_string("segment_%04d_page%02d_region%02d.png", number, F.col("page_id"), F.col("within")).alias("file_name"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import structure, text
-from foliant.functions.structure import ENDINGS
 
 def explode_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = "\n") -> DataFrame:
     """id, pos, line; documents are dealt by id once, which windows and regrouping by id then use."""
@@ -19,26 +18,31 @@ def join_lines(pairs: Column, between: str = "\n") -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda p: p["line"]), between)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 3, min_length: int = 10) -> DataFrame:
-    """Of lines of a document that occur more often than threshold, only the first stays; short lines all stay."""
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 3, min_length: int = 10, raw_col: str | None = None) -> DataFrame:
+    """Of lines of a document that occur more often than threshold, only the first stays; short lines all stay.
+
+    Rows that share an id, and those without one, count as one document. raw_col: a column with the text as it was.
+    """
     stripped = text.strip(F.col("line"))
     norm = F.when(F.length(stripped) >= min_length, F.lower(text.squeeze(F.col("line"))))
     lines = explode_lines(df, id_col, text_col).withColumn("norm", norm)
     own = Window.partitionBy(id_col, "norm")
     marked = lines.withColumns({"n": F.count(F.lit(1)).over(own), "nth": F.row_number().over(own.orderBy("pos"))})
     kept = F.when(F.col("norm").isNull() | (F.col("n") <= threshold) | (F.col("nth") == 1), F.struct("pos", "line"))
-    return marked.groupBy(id_col).agg(join_lines(F.collect_list(kept)).alias(text_col))
+    raw = [join_lines(F.collect_list(F.struct("pos", "line"))).alias(raw_col)] if raw_col else []
+    return marked.groupBy(id_col).agg(join_lines(F.collect_list(kept)).alias(text_col), *raw)
 
 
-def tables_as_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tables_as_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
     """Lines of three or more columns two spaces apart become rows with bars; blank lines set tables off."""
 
     def row(line: Column) -> Column:
         cells = F.filter(F.split(text.strip(line), r"(?U)\s{2,}"), lambda s: s != "")
         return F.transform(F.array(cells), lambda c: F.when(F.size(c) >= 3, F.array_join(c, " | ")))[0]
 
-    lines = df.select(id_col, F.split(text.blank_if_null(F.col(text_col)), "\n", -1).alias("lines"))
-    rows = lines.select(id_col, "lines", F.transform("lines", row).alias("rows"))
+    carried = carried or []
+    lines = df.select(id_col, *carried, F.split(text.blank_if_null(F.col(text_col)), "\n", -1).alias("lines"))
+    rows = lines.select(id_col, *carried, "lines", F.transform("lines", row).alias("rows"))
     at = lambda i: F.get("rows", i)
     blank = lambda c: F.when(c, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
 
@@ -47,25 +51,12 @@ def tables_as_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         last = (i < F.size("lines") - 1) & at(i + 1).isNull()
         return F.when(at(i).isNull(), F.array(line)).otherwise(F.concat(blank(first), F.array(at(i)), blank(last)))
 
-    return rows.select(id_col, F.array_join(F.flatten(F.transform("lines", out)), "\n").alias(text_col))
+    return rows.select(id_col, *carried, F.array_join(F.flatten(F.transform("lines", out)), "\n").alias(text_col))
 
 
 def split_announcements(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_letters: int = 40) -> DataFrame:
-    """id, segment_no, segment: a boundary line starts a segment; short ones go unless the only one."""
-    ended = F.regexp_replace(text.blank_if_null(F.col(text_col)), rf"(?:{ENDINGS})\z", "")
-    lines = explode_lines(df.where(text.blank_if_null(F.col(text_col)) != "").select(id_col, ended.alias(text_col)), id_col, text_col, ENDINGS)
-    starts = (structure.boundary_line(F.col("line")) & (F.col("pos") > 0)).cast("int")
-    numbered = lines.withColumn("starts", starts).withColumn("part", F.sum("starts").over(Window.partitionBy(id_col).orderBy("pos")))
-    parts = numbered.groupBy(id_col, "part").agg(text.strip(join_lines(F.collect_list(F.struct("pos", "line")))).alias("segment"))
-    whole = Window.partitionBy(id_col)
-    kept = parts.withColumn("n", F.count(F.lit(1)).over(whole)).where((F.col("n") == 1) | (text.letters(F.col("segment")) >= least_letters))
-    return kept.select(id_col, (F.row_number().over(whole.orderBy("part")) - 1).alias("segment_no"), "segment")
-
-
-def segments(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and its segments as one array; ids without segments are absent."""
-    parts = split_announcements(df, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("segment_no", "segment"))).alias("s"))
-    return parts.select(id_col, F.transform("s", lambda s: s["segment"]).alias(name))
+    """id, segment_no, segment: a boundary line starts a segment; short ones go unless the only one. Nothing is shuffled."""
+    return df.select(id_col, F.posexplode(structure.announcements(F.col(text_col), least_letters)).alias("segment_no", "segment"))
 
 
 def filter_low_confidence(df: DataFrame, tokens: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 25.0) -> DataFrame:

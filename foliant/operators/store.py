@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,31 +65,46 @@ def history_page(results: DataFrame, user_id: Column | int, page: int = 0, size:
 def rate_limit(requests: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:
     """requests with accepted: of a key's requests in order, those with room in the window; rejected ones take none.
 
-    A fold keeps the times accepted within the window, at most `limit` of them.
+    Requests are dealt by key and sorted by time; a pass over them holds the last key's accepted times only, at most
+    `limit`, however long its history is. Requests without a time are rejected.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    own = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(micros.alias("t"), "event_id"))).alias("all"))
-    none = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<event_id:bigint,accepted:boolean>>").alias("out"))
+    kind = requests.schema[key].dataType.simpleString()
+    window = seconds * 1_000_000
+
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = object(), deque()
+        for b in batches:
+            ok = []
+            for k, t in zip(b["k"], b["t"], strict=True):
+                k = None if pd.isna(k) else k
+                if k != now:
+                    now, held = k, deque()
+                while held and t - held[0] > window:
+                    held.popleft()
+                ok.append(bool(len(held) < limit and not pd.isna(t)))
+                if ok[-1]:
+                    held.append(t)
+            yield pd.DataFrame({key: b["k"], "event_id": b["event_id"], "accepted": ok})
 
-    def step(acc: Column, x: Column) -> Column:
-        held = F.filter(acc["held"], lambda t: x["t"] - t <= seconds * 1_000_000)
-        ok = F.size(held) < limit
-        told = F.struct(x["event_id"].alias("event_id"), ok.alias("accepted"))
-        return F.struct(F.when(ok, F.concat(held, F.array(x["t"]))).otherwise(held).alias("held"), F.concat(acc["out"], F.array(told)).alias("out"))
-
-    return own.select(key, F.explode(F.aggregate("all", none, step, lambda acc: acc["out"])).alias("r")).select(key, "r.event_id", "r.accepted")
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = requests.select(F.col(key).alias("k"), micros.alias("t"), "event_id").repartition("k").sortWithinPartitions("k", "t", "event_id")
+    return rows.mapInPandas(passed, f"`{key}` {kind}, event_id long, accepted boolean")
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, similarity: the k nearest other vectors of each stated query.
 
-    queries is a stated set; each task keeps the best of its own rows by partial aggregation of a bounded list.
+    queries is a stated set, dealt into blocks; vectors are dealt into parts, and each block of queries meets each part
+    by an equi-join on both. The ranking is cut to k rows a query in every task before anything is shuffled.
     """
+    spark = vectors.sparkSession
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(dot(c, c))
-    left = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    right = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("n"))
-    both = right.join(left, right["vec_id"] != left["query_id"])
+    blocks, parts = max(1, -(-queries.count() // block)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    right = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("n"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
+    both = right.withColumn("block", all_of(blocks)).join(left.withColumn("part", all_of(parts)), ["block", "part"]).where("vec_id != query_id")
     scored = both.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")

@@ -10,12 +10,12 @@ from foliant.operators import lines
 
 
 def text_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, clean_text, corrected: frequent lines, noise, spacing, tables, then characters. One shuffle, by id."""
-    unique = lines.dedup_lines(docs.select(id_col, F.col(text_col).alias("t")), id_col, "t")
-    normal = unique.select(id_col, text.normalize_lines(F.col("t")).alias("t"))
-    quiet = normal.select(id_col, text.filter_noise_lines(F.col("t")).alias("t"))
-    clean = lines.tables_as_text(quiet.select(id_col, text.clean_text(F.col("t")).alias("t")), id_col, "t")
-    return clean.select(id_col, F.col("t").alias("clean_text"), text.char_correct(F.col("t")).alias("corrected"))
+    """id, raw_text, clean_text, corrected: frequent lines, noise, spacing, tables, then characters. One shuffle, by id."""
+    unique = lines.dedup_lines(docs.select(id_col, F.col(text_col).alias("t")), id_col, "t", raw_col="raw_text")
+    normal = unique.withColumn("t", text.normalize_lines(F.col("t")))
+    quiet = normal.withColumn("t", text.filter_noise_lines(F.col("t")))
+    clean = lines.tables_as_text(quiet.withColumn("t", text.clean_text(F.col("t"))), id_col, "t", ["raw_text"])
+    return clean.select(id_col, "raw_text", F.col("t").alias("clean_text"), text.char_correct(F.col("t")).alias("corrected"))
 
 
 def run(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", semantics: str = "reference", processed_at: str | None = None) -> DataFrame:
@@ -24,8 +24,7 @@ def run(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", semanti
     semantics: "reference" extracts from the corrected text, in which zeros and line ends are gone; "intended"
     extracts and segments the clean text.
     """
-    raw = docs.select(id_col, text.blank_if_null(F.col(text_col)).alias("raw_text"))
-    out = text_chain(docs, id_col, text_col).join(raw, id_col)
+    out = text_chain(docs, id_col, text_col)
     source = F.col("corrected" if semantics == "reference" else "clean_text")
     meta = F.struct(
         F.lit(processed_at).cast("string").alias("processed_at"),

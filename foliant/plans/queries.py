@@ -213,38 +213,19 @@ def batch_scan(s: Source) -> DataFrame:
     return s.uploads.where(text.normalize_path(F.col("file_path")).endswith(".pdf")).select("id", "file_path")
 
 
-@query("", "SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(a.text, '[^ -~]', '', 'g'), regexp_replace(b.text, '[^ -~]', '', 'g')) AS distance FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id")
-def edit_distance(s: Source) -> DataFrame:
-    a, b = s.benchmark.alias("a"), s.benchmark.alias("b")
-    joined = a.join(b, F.col("a.item_id") + 1 == F.col("b.item_id"))
-    return joined.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.levenshtein(F.regexp_replace("a.text", "[^ -~]", ""), F.regexp_replace("b.text", "[^ -~]", "")).cast("long").alias("distance"))
-
-
 @query()
-def edit_distance_whole(s: Source) -> DataFrame:
-    """edit_distance of the unchanged texts, in characters. No SQL: DuckDB's levenshtein counts bytes."""
+def edit_distance(s: Source) -> DataFrame:
+    """Distance of neighbours' whole texts, in characters. No SQL: DuckDB's levenshtein counts bytes."""
     a, b = s.benchmark.alias("a"), s.benchmark.alias("b")
     joined = a.join(b, F.col("a.item_id") + 1 == F.col("b.item_id"))
     return joined.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.levenshtein("a.text", "b.text").cast("long").alias("distance"))
 
 
-@query(
-    "",
-    "SELECT w.word, d.word AS similar, levenshtein(lower(w.word), lower(d.word)) AS distance FROM w, d WHERE levenshtein(lower(w.word), lower(d.word)) <= 2",
-    r"""w AS (SELECT DISTINCT regexp_extract(text, '^[A-Za-z]+') AS word FROM conversations), d0 AS (SELECT DISTINCT unnest(string_split_regex(text, '[\s.,]+')) AS word FROM benchmark),
-    d AS (SELECT word FROM d0 WHERE regexp_matches(word, '^[A-Za-z]+$'))""",
-)
-def similar_words(s: Source) -> DataFrame:
-    words = s.conversations.select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("word")).distinct()
-    entries = s.benchmark.select(F.explode(F.split("text", r"[\s.,]+")).alias("word")).distinct().where(F.col("word").rlike("^[A-Za-z]+$"))
-    return lines.similar_words(words, entries).withColumn("distance", F.col("distance").cast("long"))
-
-
 @query()
-def similar_words_whole(s: Source) -> DataFrame:
-    """similar_words for all words of every whole text on both sides, letters beyond A-Z and other signs included.
+def similar_words(s: Source) -> DataFrame:
+    """All words of every whole text on both sides, letters beyond A-Z and other signs included.
 
-    No SQL: DuckDB's levenshtein counts bytes. The words are split as that query splits its dictionary.
+    No SQL: DuckDB's levenshtein counts bytes.
     """
     every = lambda df: df.select(F.explode(F.split("text", r"[\s.,]+")).alias("word")).where("word != ''").distinct()
     return lines.similar_words(every(s.conversations), every(s.benchmark)).withColumn("distance", F.col("distance").cast("long"))
@@ -344,10 +325,9 @@ def process_summary(s: Source) -> DataFrame:
     s_segments("noisy_documents") + ", g AS (SELECT doc_id, list(segment ORDER BY segment_no) AS s FROM parts GROUP BY doc_id)",
 )
 def format_text(s: Source) -> DataFrame:
-    docs = s.noisy_documents
-    both = docs.join(lines.segments(docs, "s"), "doc_id", "left")
-    own = F.when(F.col("doc_id") % 7 > 0, F.coalesce("s", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    return both.select("doc_id", structure.format_text(own, F.when(F.col("doc_id") % 14 == 0, "").otherwise(F.col("text"))).alias("body"))
+    docs = s.noisy_documents.withColumn("s", structure.announcements(F.col("text")))
+    own = F.when(F.col("doc_id") % 7 > 0, F.col("s")).otherwise(F.array().cast("array<string>"))
+    return docs.select("doc_id", structure.format_text(own, F.when(F.col("doc_id") % 14 == 0, "").otherwise(F.col("text"))).alias("body"))
 
 
 @query("ocr_tokens", "SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) FILTER (trim(text) <> '') AS text FROM ocr_tokens GROUP BY doc_id")

@@ -143,16 +143,10 @@ def rate_limit(s: Source) -> DataFrame:
 @query(
     "",
     """SELECT query_id, rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
-      (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) AS similarity FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)) WHERE rank <= 5""",
+      (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) AS similarity FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)) WHERE rank <= 5""",
     "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)",
 )
 def cosine_topk(s: Source) -> DataFrame:
-    return store.cosine_topk(s.embeddings, s.embeddings.where("vec_id % 100 = 0"))
-
-
-@query()
-def cosine_topk_whole(s: Source) -> DataFrame:
-    """cosine_topk for the stated set of a search, the ids divisible by 20. No SQL: that of cosine_topk has its own set."""
     return store.cosine_topk(s.embeddings, s.embeddings.where("vec_id % 20 = 0"))
 
 
@@ -189,15 +183,15 @@ def usage_rollup(s: Source) -> DataFrame:
     return s.documents.rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query()
+@query("", "SELECT url AS path, 0 AS image_index, 'html' AS extension, sha256('data:image/html;base64,' || to_base64(encode(html))) AS address_sha256 FROM pages")
 def image_manifest(s: Source) -> DataFrame:
     """Images of a folder of files as (path, index, extension, data address); here each page stands for a file."""
     files = s.pages.select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
-    address = F.concat(F.lit("data:image/html;base64,"), F.base64("content"))
+    address = F.concat(F.lit("data:image/html;base64,"), F.translate(F.base64("content"), "\r\n", ""))
     return files.select("path", F.lit(0).alias("image_index"), F.lit("html").alias("extension"), F.sha2(address, 256).alias("address_sha256"))
 
 
-@query()
+@query("", "SELECT page_id, octet_length(encode('%PDF-1.7 ' || html))::INTEGER AS length FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, octet_length(encode(html))::INTEGER FROM pages WHERE page_id % 3 > 0 AND substr(html, 1, 4) = '%PDF'")
 def pdf_magic_filter(s: Source) -> DataFrame:
     """Files with the magic bytes; a third of the pages are given them."""
     body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), F.col("html"))).otherwise(F.col("html"))

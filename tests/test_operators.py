@@ -68,7 +68,7 @@ def test_similar_words_of_whole_texts(spark, tmp_path):
     write(spark, tmp_path, "benchmark", list(enumerate(entries)), "item_id long, text string")
     words = lambda ts: {w for t in ts if t for w in re.split(r"[\s.,]+", t) if w}
     want = {(a, b, d) for a in words(texts) for b in words(entries) if (d := distance(a.lower(), b.lower())) <= 2}
-    got = QUERIES["similar_words_whole"](spark, str(tmp_path)).collect()
+    got = QUERIES["similar_words"](spark, str(tmp_path)).collect()
     assert {(r["word"], r["similar"], r["distance"]) for r in got} == want and len(got) == len(want)
     assert {("Brücke", "Brücken", 1), ("日本語", "日本", 1), ("weiter", "weitet", 1)} <= want
 
@@ -76,7 +76,7 @@ def test_similar_words_of_whole_texts(spark, tmp_path):
 def test_edit_distance_of_whole_texts(spark, tmp_path):
     texts = ["naïve café", "naive cafe", "日本語のテキスト", "日本のテキスト\n\t", "", "é😀"]
     write(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
-    got = {r["a"]: r["distance"] for r in QUERIES["edit_distance_whole"](spark, str(tmp_path)).collect()}
+    got = {r["a"]: r["distance"] for r in QUERIES["edit_distance"](spark, str(tmp_path)).collect()}
     assert got == {i: distance(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))} and got[0] == 2
 
 
@@ -86,7 +86,7 @@ def test_cosine_topk_of_the_stated_set(spark, tmp_path):
     unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
     near = unit @ unit.T
     want = {(q, k + 1, int(i)) for q in range(0, 130, 20) for k, i in enumerate([i for i in np.argsort(-near[q]) if i != q][:5])}
-    got = QUERIES["cosine_topk_whole"](spark, str(tmp_path)).collect()
+    got = QUERIES["cosine_topk"](spark, str(tmp_path)).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want and len(got) == 35
     assert all(abs(r["similarity"] - near[r["query_id"], r["vec_id"]]) < 1e-6 for r in got)
 

@@ -1,5 +1,7 @@
 """Text functions against expectations worked out by hand."""
 
+import posixpath
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +25,12 @@ CASES = [
     (text.map_lang, "uz_cyr", "rus+uzb+eng"),
     (text.map_lang, None, "uzb+eng+rus"),
     (text.normalize_path, ' "C:\\\\scans\\\\a.pdf" ', "C:\\scans\\a.pdf"),
-    (text.page_text, "  a b  ", "a b"),
+    *[(text.normalize_path, p, posixpath.normpath(p)) for p in ("a/./b/../c.pdf", "/../a//b/", "//x/..", "///x/./y", "../../a/../b", "a/..", "/", ".", "..", "/a/../..", "a/b/../../../c")],
+    (text.normalize_path, "", None),
+    (text.normalize_path, None, None),
+    (text.normalize_path, ' "" ', "."),
+    (text.page_text, "\u00a0 a\u00a0b \u00a0", "a b"),
+    (text.mixed_script_fix, None, ""),
     (structure.extract_date, "17.06.2021 й.", "2021-06-17"),
     (structure.extract_date, "99.99.2021", "2021-99-99"),
     (structure.extract_date, "none", None),
