@@ -314,9 +314,10 @@ def _digest(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row doc_id and the ids of its text under the model file, as the library gives them.
 
-    Words of a group of texts are exploded into substrings up to the longest piece, joined to the piece table,
-    grouped by word and folded, for BPE by merges, for unigram models by Viterbi; ids of words met before are kept
-    up to a bound. Null texts count as empty and give no ids; repeated rows each get a row.
+    A task looks the substrings of its words, up to the longest piece, up in a hash table of the pieces and folds each
+    word in arrays, for BPE models by merges, for unigram models by Viterbi; ids of words met before are kept up to a
+    bound. lattice.encode_unigram does the latter with Spark's joins. Null texts count as empty and give no ids;
+    repeated rows each get a row.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))

@@ -91,8 +91,9 @@ def jaccard(rows):
 
 def topk(rows, k=5):
     import math
+    from fractions import Fraction
 
-    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * Fraction(float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in ok:
         if q % 50 == 0:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import exact_dedup, jaccard_join, language, line_dedup, packing, pieces, pii, secret_scan, substring_dedup, topk_search
+from foliant.llm import exact_dedup, jaccard_join, language, lattice, line_dedup, packing, pieces, pii, secret_scan, substring_dedup, topk_search
 from foliant.llm.queries import table, tokenizer_path
 from foliant.llm.trigrams import trigram_query, trigrams
 
@@ -93,10 +93,30 @@ def test_personal(spark):
 
 
 def test_personal_classifier_tells_labelled_spans_apart():
-    patterns = [("local_phone", [1, 0, 1, 0], 60), ("local_phone", [1, 0, 0, 0], 30), ("local_phone", [-1, 0, 0, -1], 40)]
+    plain, odd = [1, 2, 1, 1, 0], [2, 1, 3, 3, 1]
+    patterns = [("local_phone", [1, 0, 1, 0], plain, 60), ("local_phone", [1, 0, 0, 0], plain, 30), ("local_phone", [-1, 0, 0, -1], odd, 40)]
     model = pii.fit(patterns)
-    assert pii.accepted(model, "local_phone", [1, 0, 1, 0]) and not pii.accepted(model, "local_phone", [-1, 0, 0, -1])
-    assert pii.accepted({}, "email", [-1, -1, 0, -1]) and not pii.accepted({}, "account", [1, 1, 1, 0])
+    assert pii.accepted(model, "local_phone", [1, 0, 1, 0], plain) and not pii.accepted(model, "local_phone", [-1, 0, 0, -1], odd)
+    assert pii.accepted({}, "email", [-1, -1, 0, -1], plain) and not pii.accepted({}, "account", [1, 1, 1, 0], plain)
+    w = np.array(model["local_phone"])
+    of = lambda f: float((pii._inputs(np.array([[1, 0, 0, 0]]), np.array([f])) @ w)[0])
+    assert of(plain) > of(odd)  # the same votes, another span
+
+
+def test_personal_data_in_long_runs():
+    import time
+
+    zeros = "1.2.3." + "0" * 5000 + "4"
+    assert pii.base_spans(zeros) == [("ip", 0, len(zeros))]
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "@", "@" * 1_000_000, "1." * 300_000, "a@" * 300_000, "+1" + " " * 1_000_000, "12-" * 300_000, "(202) 555-0100 " * 20_000):
+        start = time.perf_counter()
+        pii.candidates(text)
+        assert time.perf_counter() - start < 10, text[:8]
+    r = random.Random(1)
+    for _ in range(5000):
+        text = "".join(r.choice("ab@@..-+ 1234567890012()é%_\n") for _ in range(r.randint(1, 60)))
+        spans = pii.base_spans(text)
+        assert [sum(k == b for k, _, _ in spans) for b in pii.BASE] + [brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))] == brute.personal(text)
 
 
 @pytest.mark.parametrize("block", [None, 997])
@@ -126,6 +146,38 @@ def test_similarity(spark):
     assert jaccard_join.similarity_components(df.limit(0)).count() == 0
     alone = jaccard_join.similarity_components(docs(spark, [], [(None, LONG), (1, LONG), (1, LONG)])[1])
     assert got(alone, "doc_id", "component_id") == [(1, 1), (1, 1), (None, None)]
+    other = prose(31, 90)
+    shared = docs(spark, [], [(1, LONG), (1, other), (1, other), (4, other + " more"), (5, LONG), (6, "alone here"), (5, "")])[1]
+    found = got(jaccard_join.similarity_components(shared), "doc_id", "n_links", "component_id")
+    assert found == [(1, 0, 1), (1, 1, 1), (1, 1, 1), (4, 1, 1), (5, 0, 1), (5, 0, 5), (6, 0, 6)]
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words have equal polynomials modulo 2 ** 64 under every odd base."""
+    odd = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    words = [odd, odd.translate(str.maketrans("ab", "ba"))]
+    rows, df = docs(spark, [f"{w} one two three four" for w in words])
+    assert got(jaccard_join.similarity_components(df), "doc_id", "component_id") == [(0, 0), (1, 1)]
+    shared = prose(41, 34)
+    rows, df = docs(spark, [f"{w} {shared}" for w in words])
+    assert got(substring_dedup.substring_digest(df), "doc_id", "n_removed") == [(0, 0), (1, 0)]
+
+
+def test_near_copies_with_outsiders(spark, monkeypatch):
+    """A group of near copies in several blocks, with texts beside it that share much but link with few or none."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 50)
+    monkeypatch.setattr(jaccard_join, "FANNED", 20)
+    r, base, texts = random.Random(5), prose(51, 90).split(), []
+    for i in range(420):
+        w = list(base)
+        for _ in range(r.randint(0, 2) if i < 220 else r.randint(3, 9)):
+            w[r.randrange(len(w))] = f"new{r.randrange(60)}"
+        texts.append(" ".join(w))
+    rows, df = docs(spark, texts + [prose(60 + i // 2, 30) + f" tail{i}" for i in range(40)])
+    assert got(jaccard_join.similarity_components(df), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows), key=repr)
+    sets = [frozenset(zip(*[t.lower().split()[k:] for k in range(5)], strict=False)) for _, t in rows]
+    links = [sum(100 * len(s & o) >= 75 * len(s | o) for o in set(sets) - {s}) for s in sets]
+    assert got(jaccard_join.similarity_components(df), "doc_id", "n_links") == sorted(enumerate(links), key=repr)
 
 
 @pytest.mark.parametrize("block", [None, 7])
@@ -156,6 +208,19 @@ def test_topk(spark):
     assert got(topk_search.topk_search(df.where("vec_id < 3"), k=5), "rank") == [(1,), (2,)]
 
 
+def test_topk_of_wide_vectors_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD", 4)
+    rows = [(50, [2.0, 1.0]), (1, [1e10, 1.0]), (2, [-3e300, 1.0]), (3, [2.0, 5e307]), (100, [1e300, 2e300]), (4, [0.5, 0.25]), (5, [0.5, 0.25]), *[(i, [i / 7, -i / 3]) for i in range(6, 30)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute.topk(rows)
+    assert got(topk_search.topk_search(df), "query_id", "rank", "vec_id", "score_exact") == sorted(((q, r, v, str(s)) for q, r, v, s in want), key=repr)
+    top = {r["query_id"]: r for r in topk_search.topk_search(df).where("rank = 1").collect()}
+    assert top[50]["score"] == 2**63 - 1 and top[50]["vec_id"] == 3
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.topk_search(twice, k=2).collect())
+    assert found == [(50, 1, 1, 131072), (50, 1, 1, 196608), (50, 2, 1, 131072), (50, 2, 1, 196608)]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -259,7 +324,7 @@ def test_pieces_as_the_library_has_them(spark):
     assert pieces.piece_digest(df.limit(0), path).count() == 0
 
 
-def test_pieces_unigram(tmp_path):
+def test_pieces_unigram(spark, tmp_path):
     import math
 
     import sentencepiece
@@ -275,3 +340,7 @@ def test_pieces_unigram(tmp_path):
     own, model = pieces.Codec(str(tmp_path / "m.model")), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
     texts = ["the quick brown fox", "unbelievable  results", "über straße", "a"]
     assert [x.tolist() for x in own.encode(texts)] == [model.encode(t) for t in texts]
+    rows, df = docs(spark, [*texts, None, "", "  two  spaces ", "日本 ▁ mark\n\nline é😀", "over the " * 3, prose(69, 300).replace(" ", ""), *[prose(70 + i, 12) for i in range(6)]], [(None, "the fox"), (0, texts[0])])
+    found = lattice.encode_unigram(df, str(tmp_path / "m.model"))
+    assert got(found, "doc_id", "ids") == sorted(((i, model.encode(t or "")) for i, t in rows), key=repr)
+    assert lattice.encode_unigram(df.limit(0), str(tmp_path / "m.model")).count() == 0
