@@ -57,7 +57,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents")).drop("row_key", "group_key")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk_search.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_topk_search": topk_search.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+        "op7_substring_dedup": substring_dedup.ORACLE,
+        "op10_ngram_jaccard_join": jaccard_join.ORACLE,
+    }

@@ -214,3 +214,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def substring_digest(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs, emit_text=False).drop("kept_text")
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 33), lambda i: {'i': i, 's': sha256(array_to_string(w[i:i + 34], ' '))})) AS v FROM t),
+again AS (SELECT v.s AS s FROM v GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(v.i, v.i + 35)) AS i FROM v WHERE v.s IN (SELECT s FROM again)),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+k AS (
+  SELECT x.doc_id, string_agg(x.x, ' ' ORDER BY x.i) FILTER (gone.i IS NULL) AS kept, count(gone.i) AS n_removed
+  FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""
