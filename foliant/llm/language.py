@@ -11,11 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import frequent, materialize, spread_join, text_or_empty
+from foliant.llm.common import frequent, give_back, materialize, small_batches, spread_join, text_or_empty
 
 BUCKETS = 1 << 16
-#: Letters of evidence that a text's likelihood counts for at most: neighbouring letters are not independent.
-MOST_LETTERS = 300
 #: Letter triples that a text needs to have a language at all; one letter between spaces is one.
 LEAST_LETTERS = 1
 #: Characters scored at once; a text is cut into such parts, which overlap by two, and all are scored.
@@ -42,25 +40,35 @@ class Profiles:
 
     langs: list[str]
     table: np.ndarray
+    #: Weight of a triple's log likelihood. Below 1, whole texts of any size speak less loudly than other evidence.
+    temper: float = 1.0
 
     def score(self, text: str) -> tuple[int, np.ndarray]:
         n, total = 0, np.zeros(len(self.langs))
         for g in _grams(text):
             n += len(g)
             total += self.table[g].sum(axis=0, dtype=np.float64)
-        return n, total * min(1.0, MOST_LETTERS / n) if n else total
+        return n, total * self.temper
 
 
-def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000) -> Profiles:
+def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000, most_langs: int = 64, temper: float = 1.0) -> Profiles:
     """Profiles from at most `sample` labelled rows: those with the smallest hash of id and language.
 
-    Whole texts of the sample are counted on the executors; the driver gets counts, at most BUCKETS a language.
-    Rows without label or text are left out; without any labelled row there is no language.
+    Whole texts of the sample are counted on the executors; the driver gets counts, at most BUCKETS a language. Of the
+    sample's labels the most_langs most frequent, then by name, have a profile. Of equal rows no more are taken than
+    sample leaves. Rows without label or text are left out; without any labelled row there is no language.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.xxhash64(F.col(id_col), F.col(lang_col)).alias("h"), F.lower(F.trim(lang_col)).alias("lang"), F.col(text_col).alias("text"))
-    limit = rows.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).collect()[0]["h"]
-    if limit is None:
+    least = rows.select("h").orderBy("h").limit(sample)
+    limit, n = least.agg(F.max("h"), F.count(F.lit(1))).first()
+    if limit is not None:
+        below = least.where(F.col("h") < limit).count()
+        rows = materialize(rows.where(F.col("h") < limit).unionByName(rows.where(F.col("h") == limit).limit(n - below)).select("lang", "text"))
+        langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
+        rows = rows.where(F.col("lang").isin(langs))
+    else:
         return Profiles([], np.zeros((BUCKETS, 0), dtype=np.float32))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,12 +81,12 @@ def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
 
-    counts = rows.where(F.col("h") <= limit).select("lang", "text").mapInPandas(count, "lang string, bucket int, n long")
+    counts = rows.select("lang", "text").mapInPandas(count, "lang string, bucket int, n long")
     got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     table = np.full((BUCKETS, len(langs)), 0.05)
     table[got["bucket"], got["lang"].map(langs.index)] += got["n"]
-    return Profiles(langs, np.log(table / table.sum(axis=0)).astype(np.float32))
+    return Profiles(langs, np.log(table / table.sum(axis=0)).astype(np.float32), temper)
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -86,7 +94,7 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def evidence(docs: DataFrame, profiles: Profiles, text: Column, declared: Column, suffix: Column, host: Column, carried: list[str]) -> DataFrame:
+def evidence(docs: DataFrame, profiles: Profiles, text: Column, declared: Column, suffix: Column, host: Column, carried: list[str | Column]) -> DataFrame:
     """The carried columns, host, declared and suffix as known languages or "other" or "none", letters and text posterior."""
     known = [F.lit(x) for x in profiles.langs]
     named = lambda c: F.when(c.isNull() | (c == ""), "none").when(c.isin(*known) if known else F.lit(False), c).otherwise("other")
@@ -98,7 +106,9 @@ def evidence(docs: DataFrame, profiles: Profiles, text: Column, declared: Column
             scored = [profiles.score(t) for t in b["text"]]
             likely = _soft(np.array([s for _, s in scored]).reshape(len(b), -1)) if profiles.langs else np.zeros((len(b), 0))
             yield b.drop(columns="text").assign(letters=[n for n, _ in scored], likely=list(likely))
+            give_back()
 
+    small_batches(docs.sparkSession)
     plain = ready.drop("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     return ready.mapInPandas(score, f"{schema}, letters long, likely array<double>")
@@ -108,8 +118,8 @@ def fuse(rows: DataFrame, langs: list[str], weight: float = 20.0, least: float =
     """rows of evidence() with lang, confidence and accepted.
 
     Declared languages and suffixes count by how they go with the texts' languages over all rows (tables of at
-    most (languages + 2) x languages). A host's prior is its own sum of text posteriors smoothed by weight rows
-    of its domain's prior, that by the whole corpus's. Hosts with many rows are joined by broadcast (at most 512),
+    most (languages + 2) x languages). A row's host prior is the sum of the text posteriors of the host's other rows,
+    smoothed by weight rows of its domain's prior, that of the domain's other rows by the whole corpus's. Hosts with many rows are joined by broadcast (at most 512),
     the others by shuffle. A row without letters is "und" and not accepted; so is one with no language over least.
     """
     if not langs:
@@ -130,29 +140,33 @@ def fuse(rows: DataFrame, langs: list[str], weight: float = 20.0, least: float =
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     hosts = seen.groupBy("host").agg(*sums).withColumn("domain", F.when(domain == "", F.col("host")).otherwise(domain))
     domains = hosts.groupBy("domain").agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in range(n)])
-    of = lambda p: sum((F.col(f"{p}{i}") for i in range(n)), F.lit(0.0))
-    up = [(F.col(f"d{i}") + F.lit(weight * float(overall[i]))) / (of("d") + weight) for i in range(n)]
-    prior = F.array(*[(F.col(f"s{i}") + weight * up[i]) / (of("s") + weight) for i in range(n)])
-    priors = materialize(hosts.join(domains, "domain").select("host", prior.alias("prior")))
-    flat = F.array(*[F.lit(float(x)) for x in overall])
+    each = lambda p: F.array(*[F.col(f"{p}{i}") for i in range(n)])
+    priors = materialize(hosts.join(domains, "domain").select("host", each("s").alias("of_host"), each("d").alias("of_domain")))
+    none = F.array(*[F.lit(0.0)] * n)
     counted = spread_join(seen, priors, "host", frequent(seen.select("host"), "host"))
-    rest = rows.where(F.col("letters") < LEAST_LETTERS).withColumn("prior", flat)
+    rest = rows.where(F.col("letters") < LEAST_LETTERS).withColumns({"of_host": none, "of_domain": none})
 
     def decide(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            score = np.log(np.maximum(np.stack(b["likely"].to_list()), 1e-30)) + np.log(np.stack(b["prior"].to_list()))
+            likely = np.stack(b["likely"].to_list())
+            own = likely * (b["letters"] >= LEAST_LETTERS).to_numpy()[:, None]
+            of_domain, of_host = (np.maximum(np.stack(b[c].to_list()) - own, 0) for c in ("of_domain", "of_host"))
+            up = (of_domain + weight * overall) / (of_domain.sum(axis=1, keepdims=True) + weight)
+            prior = (of_host + weight * up) / (of_host.sum(axis=1, keepdims=True) + weight)
+            score = np.log(np.maximum(likely, 1e-30)) + np.log(prior)
             for column, table in tables.items():
                 score += np.stack([table[v] for v in b[column]])
             p = _soft(score)
             top = p.argmax(axis=1)
             ok = (b["letters"] >= LEAST_LETTERS).to_numpy() & (p.max(axis=1) >= least)
             yield b[names].assign(lang=np.where(ok, np.array(langs, dtype=object)[top], "und"), confidence=np.round(p.max(axis=1), 6), accepted=ok)
+            give_back()
 
     carried = [c for c in rows.columns if c != "likely"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carried).schema)
-    whole = counted.select(*rows.columns, "prior").unionByName(rest.select(*rows.columns, "prior"))
+    whole = counted.select(*rows.columns, "of_host", "of_domain").unionByName(rest.select(*rows.columns, "of_host", "of_domain"))
     return whole.mapInPandas(partial(decide, names=carried), f"{schema}, lang string, confidence double, accepted boolean")
 
 
@@ -183,5 +197,3 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, sample: int = 4000) ->
     profiles = fit_profiles(labelled, sample=sample)
     parts = page_parts(pages)
     return fuse(evidence(parts, profiles, F.col("text"), F.col("declared"), F.col("suffix"), F.col("host"), ["page_id"]), profiles.langs)
-
-

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize, shuffle_partitions, text_or_empty
+from foliant.llm.common import give_back, materialize, shuffle_partitions, small_batches, text_or_empty
 
 #: Fixed value: how the byte-level vocabulary splits text before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,7 +64,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col:
                     out.append((doc_id, k, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
                     start = stop
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            give_back()
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(cut, f"doc_id {kind}, {PIECES}")
 
@@ -182,7 +184,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         first += copies
     runs = {length: np.array(rows, dtype=np.int64) for length, rows in table.items()}
 
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4 * shuffle_partitions(spark))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(4 * shuffle_partitions(spark))))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")
     sizes = salted.groupBy("length", "salt").count().select("length", "salt", before.alias("before"))
