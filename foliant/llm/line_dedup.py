@@ -7,39 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import frequent, materialize, spread_join
+from foliant.llm.common import among, frequent, materialize, sparse_join, spread_join
 
-#: A frequent chunk's text is broadcast up to so many bytes; 512 of them at most are.
-BROADCAST_BYTES = 16_384
 
+def _piece(start: Column, size: Column) -> Column:
+    return F.struct(start.alias("start"), size.alias("size"), F.xxhash64(F.slice("hashes", start + 1, size)).alias("hash"))
 
-def _chunks(rows: DataFrame, modulus: int) -> DataFrame:
-    """rows (row_key, row_id, lines) by chunk: row_key, row_id, start, size, hash of the chunk's own lines.
+
+def _chunks(rows: DataFrame, modulus: int, least_lines: int) -> DataFrame:
+    """rows (row_key, row_id, lines) with pieces, an array of start, size and hash of each chunk's own lines.
 
     A chunk ends after a line whose rolling hash, over its hash and that of the line before, is 0 modulo
     `modulus`, or with the text. The two lines alone decide, so an insertion moves no later boundary.
     Each array is a column of its own: inside a lambda, an expression would be worked out for every element.
     """
-    hashed = rows.select("row_key", "row_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    hashed = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     rolling = lambda i: F.xxhash64(F.element_at("hashes", F.greatest(i - 1, F.lit(1))), F.element_at("hashes", i))
     size = F.size("hashes")
     ends = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | ((i > 1) & (F.pmod(rolling(i), F.lit(modulus)) == 0)))
-    ended = hashed.select("row_key", "row_id", "hashes", ends.alias("ends"))
+    ended = hashed.withColumn("ends", ends)
     starts = F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.size("ends") - 1))
-    chunk = F.zip_with(starts, "ends", lambda a, b: F.struct(a.alias("start"), (b - a).alias("size"), F.xxhash64(F.slice("hashes", a + 1, b - a)).alias("hash")))
-    return ended.select("row_key", "row_id", F.explode(chunk).alias("c")).select("row_key", "row_id", "c.*")
+    pieces = F.filter(F.zip_with(starts, "ends", lambda a, b: _piece(a, b - a)), lambda c: c["size"] >= least_lines)
+    return ended.select("row_key", "row_id", "lines", pieces.alias("pieces"))
 
 
 def _runs(rows: DataFrame, n: int) -> DataFrame:
-    """rows (row_key, row_id, lines) by run of n lines that follow each other, one from every line: columns as in _chunks."""
-    hashed = rows.where(F.size("lines") >= n).select("row_key", "row_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    starts = F.sequence(F.lit(0), F.size("hashes") - n)
-    run = F.transform(starts, lambda a: F.struct(a.alias("start"), F.lit(n).alias("size"), F.xxhash64(F.slice("hashes", a + 1, F.lit(n))).alias("hash")))
-    return hashed.select("row_key", "row_id", F.explode(run).alias("c")).select("row_key", "row_id", "c.*")
-
-
-def _body(lines: Column, start: Column, size: Column) -> Column:
-    return F.array_join(F.slice(lines, start + 1, size), "\n")
+    """rows (row_key, row_id, lines) with pieces as in _chunks: runs of n lines that follow each other, one from every line."""
+    hashed = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    starts = F.filter(F.sequence(F.lit(0), F.size("hashes")), lambda a: a + n <= F.size("hashes"))
+    return hashed.select("row_key", "row_id", "lines", F.transform(starts, lambda a: _piece(a, F.lit(n))).alias("pieces"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, least_lines: int = 2) -> DataFrame:
@@ -47,12 +43,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at newlines. Of chunks of at least least_lines lines with the same bytes anywhere in the table, the
     one in the smallest (id, then hash of id and text, then place) stays and the others go, whatever their number.
-    Hashes only find candidates: each is compared with the bytes of the one that stays, and stays itself where
-    they differ. A text that loses every chunk becomes empty; null stays null. Rows equal in id and text count as
-    one document and are cut alike. Chunk counts use partial aggregation; chunks above 1/512 of all (Misra-Gries)
-    meet their first text by broadcast, the others by shuffle.
+    Hashes only find candidates; the SHA-256 of a candidate's bytes decides, so a chunk of any size is compared by
+    32 bytes. A text that loses every chunk becomes empty; null stays null. Rows equal in id and text count as
+    one document and are cut alike. Counts use partial aggregation; chunks above 1/512 of all (Misra-Gries)
+    meet their first place by broadcast, the others by shuffle; of the texts only those that are cut are shuffled.
     """
-    return _cut(docs, id_col, text_col, lambda base: _chunks(base, modulus).where(F.col("size") >= least_lines))
+    return _cut(docs, id_col, text_col, lambda base: _chunks(base, modulus, least_lines))
 
 
 def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2) -> DataFrame:
@@ -65,28 +61,24 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _cut(docs, id_col, text_col, lambda base: _runs(base, least_lines))
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str, pieces: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """docs without the pieces of text (row_key, row_id, start, size, hash) that stand at an earlier place too."""
+def _cut(docs: DataFrame, id_col: str, text_col: str, cut_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the pieces of text, as cut_up makes them, that stand at an earlier place too."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     base = docs.select(key.alias("row_key"), F.col(id_col).alias("row_id"), F.split(text_col, "\n").alias("lines")).where("lines is not null")
-    rows = materialize(pieces(base))
+    rows = cut_up(base)
+    often = materialize(rows.select(F.explode("pieces.hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    body = lambda c: F.array_join(F.slice("lines", c["start"] + 1, c["size"]), "\n")
+    digested = F.transform("pieces", lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"), c["hash"].alias("hash"), F.sha2(body(c), 256).alias("digest")))
+    told = rows.select("row_key", "row_id", F.explode(digested).alias("c")).select("row_key", "row_id", "c.*")
+    seen = materialize(among(told, often, "hash").where("may").drop("may", "hash"))
     place = F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "row_key", "start")
-    facts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    hot = frequent(rows.select("hash"), "hash")
+    facts = materialize(seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
     is_first = (F.col("first.row_key") == F.col("row_key")) & (F.col("first.start") == F.col("start"))
-    repeated = spread_join(rows, facts.select("hash", "first"), "hash", hot).withColumn("is_first", is_first).distinct()
-    wanted = repeated.groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "hash", "is_first")).alias("wanted"))
-    texts = base.select("row_key", "lines").join(wanted.hint("shuffle_hash"), "row_key")
-    body = F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"), c["hash"].alias("hash"), c["is_first"].alias("is_first"), _body(F.col("lines"), c["start"], c["size"]).alias("body")))
-    bodies = materialize(texts.select("row_key", F.explode(body).alias("c")).select("row_key", "c.*"))
-    kept = bodies.where("is_first").select("hash", F.col("body").alias("kept_body")).dropDuplicates(["hash"])
-    short = kept.where(F.octet_length("kept_body") <= BROADCAST_BYTES).select("hash")
-    near = materialize(short.join(F.broadcast(hot), "hash", "left_semi").coalesce(1))
-    same = spread_join(bodies.where("not is_first"), kept, "hash", near).where("body = kept_body")
+    later = spread_join(seen, facts, "digest", frequent(seen.select("digest"), "digest")).where(~is_first).select("row_key", "start", "size").distinct()
     span = F.sequence("start", F.col("start") + F.col("size") - 1)
-    cut = same.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_list(span))).alias("cut"))
-    whole = docs.select(F.struct("*").alias("doc"), key.alias("row_key"))
-    joined = whole.join(cut.hint("shuffle_hash"), "row_key", "left").withColumn("lines", F.when(F.col("cut").isNotNull(), F.split(F.col("doc")[text_col], "\n")))
+    cut = materialize(later.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_list(span))).alias("cut")))
+    joined = sparse_join(docs.select(F.struct("*").alias("doc"), key.alias("row_key")), cut, "row_key")
+    joined = joined.withColumn("lines", F.when(F.col("cut").isNotNull(), F.split(F.col("doc")[text_col], "\n")))
     kept_lines = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "cut")
     left = F.when(F.col("cut").isNull(), F.col("doc")[text_col]).otherwise(F.array_join(F.transform(kept_lines, lambda i: F.get("lines", i)), "\n"))
     columns = [left.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns]
