@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import text_or_empty
+from foliant.llm.common import materialize, sparse_join, text_or_empty
 from foliant.llm.trigrams import trigram_query, trigrams
 
 
@@ -81,7 +81,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Index: one posting (trigram, row) for each trigram that some rule's query asks for and that the lower-cased
     text holds. Grouping the postings by row intersects the lists; the Boolean queries on the result name the
-    (row, rule) candidates, which the regular expressions verify. A rule without mandatory trigrams reads all
+    (row, rule) candidates, which the regular expressions verify; of the texts only those of candidates are shuffled. A rule without mandatory trigrams reads all
     texts. Rows are known by a hash of id and text: repeated rows and null ids each keep their own result, and a
     collision could only add candidates. Null and empty texts have no secrets.
     """
@@ -98,8 +98,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words = {t: F.col(f"mask_{i // 60}").bitwiseAND(F.lit(1 << i % 60)) != 0 for i, t in enumerate(asked)}
     picked = [i for i, q in enumerate(needs) if q is not True]
     chosen = reduce(Column.bitwiseOR, [F.when(_holds(needs[i], words), F.lit(1 << i)).otherwise(F.lit(0)) for i in picked])
-    candidates = rows.select("row_key", chosen.alias("chosen")).where("chosen != 0")
-    joined = base.join(candidates.hint("shuffle_hash"), "row_key", "left")
+    candidates = materialize(rows.select("row_key", chosen.alias("chosen")).where("chosen != 0"))
+    joined = sparse_join(base, candidates, "row_key")
     open_to = lambda i, q: F.lit(True) if q is True else F.coalesce(F.col("chosen"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
     none = F.array().cast(SPANS)
     found = [F.when(open_to(i, q) & F.col("text").rlike(r.java), _spans(F.col("text"), r, i)).otherwise(none) for i, (q, r) in enumerate(zip(needs, rules, strict=True))]
