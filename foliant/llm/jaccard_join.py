@@ -206,7 +206,7 @@ def _sets(named: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     wanted = materialize(wanted)
     ids = wanted.withColumnRenamed("node", "doc_id")
     plain = among(named.where("not coded"), ids.select("doc_id"), "doc_id").where("may").drop("may")
-    rows = plain.join(ids, "doc_id").select("doc_id", "text", "coded", "to")
+    rows = plain.join(ids.hint("merge"), "doc_id").select("doc_id", "text", "coded", "to")
     if repeated:  # the nodes of these are not known before their texts are read
         rows = rows.unionByName(named.where("coded").select("doc_id", "text", "coded", F.lit(None).cast(TO).alias("to")))
     small_batches(named.sparkSession)
@@ -244,7 +244,7 @@ def _overlaps(pairs: DataFrame, read: Callable[[DataFrame], DataFrame], before:
         sent = own = read(to)
     else:
         new = read(to.join(before.select("node"), "node", "left_anti"))
-        sent = new.unionByName(before.drop("to").join(to, "node"))
+        sent = new.unionByName(before.drop("to").join(to.hint("merge"), "node"))
         own = new.unionByName(before)
     sent = sent.select("node", "own", F.explode("to").alias("at")).select("node", "own", "at.hub", "at.fan")
     weight = pairs.count() * (own.agg(F.avg(F.octet_length("own"))).first()[0] or 0)
@@ -308,8 +308,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # Most documents are the only ones of their class and stay where they are; the others are joined with what they are.
     near = among(docs.where(F.col("doc_id").isNotNull()), special, "doc_id")
-    apart = near.where("may").join(special, "doc_id", "left").where("coded is null or coded")
-    named = near.where("not may").withColumn("coded", F.lit(False)).unionByName(apart.withColumn("coded", F.coalesce("coded", F.lit(False)))).drop("may")
+    apart = near.where("may").join(special.hint("merge"), "doc_id", "left").where("coded is null or coded")
+    apart = materialize(apart.withColumn("coded", F.coalesce("coded", F.lit(False))))  # it is read for each set of sets
+    named = near.where("not may").withColumn("coded", F.lit(False)).unionByName(apart).drop("may")
     total = int(known.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
     buckets = max(2 * shuffle_partitions(spark), total // BUCKET)
     posted = named.mapInPandas(partial(_post, common=common, rank=rank, buckets=buckets), "kind int, bucket long, tokens binary, places binary")
@@ -406,8 +407,9 @@ def _across(postings: DataFrame, facts: DataFrame, pairs: DataFrame, homes: Data
     distance = F.col("n") + F.col("n_hub") - 2 * F.col("both")
     visitors = told.where(F.col("reach").isNotNull() & (7 * distance - F.col("n") <= F.col("reach"))).select("node", F.col("hub").alias("star"), F.lit(True).alias("visits"))
 
-    every = homes.select("node", "star", F.lit(False).alias("visits")).unionByName(visitors).join(own, "node")
-    every = materialize(every)
+    every = materialize(homes.select("node", "star", F.lit(False).alias("visits")).unionByName(visitors))
+    theirs = among(own, every.select("node"), "node").where("may").drop("may")  # the other sets stay where they are
+    every = materialize(every.join(theirs, "node"))
     inside = materialize(_blocks(every))
     edges = linked.select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(inside.select(F.col("node").alias("a"), F.col("root").alias("b")))
     one = F.lit(1).cast("long").alias("links")
