@@ -6,6 +6,7 @@ Decoding files, recognition and embedding need libraries that are not there; the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators import kernels
+
 METRICS = ("lap_var", "std", "edge_density", "noise", "min_val", "max_val")
 
 
@@ -101,19 +104,38 @@ def rescale(image: np.ndarray, scale: float) -> np.ndarray:
     return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
 
 
-def stretch(image: np.ndarray) -> np.ndarray:
-    """Contrast over the full range."""
-    low, high = int(image.min()), int(image.max())
-    return image if high == low else np.rint((image.astype(float) - low) * 255 / (high - low)).astype(np.uint8)
+def enlarge(image: np.ndarray, scale: float = 1.5) -> np.ndarray:
+    """The zoomed copy that recognition gets."""
+    return rescale(image, scale)
+
+
+def close(image: np.ndarray) -> np.ndarray:
+    return kernels.close(image, 2)
 
 
+# Limits, sizes and offsets of the steps.
 #: Steps by quality tier; any other tier is taken as poor.
 TIERS: dict[str, tuple[Callable[[np.ndarray], np.ndarray], ...]] = {
     "excellent": (binarize,),
-    "good": (denoise, binarize),
-    "medium": (stretch, denoise, binarize),
-    "poor": (stretch, denoise, sharpen, binarize),
+    "good": (partial(kernels.clahe, limit=2.0), denoise, binarize, close),
+    "medium": (partial(kernels.bilateral, size=5, sigma_level=50, sigma_space=50), partial(kernels.clahe, limit=2.5), partial(kernels.adaptive, size=15, offset=8), close),
+    "poor": (partial(kernels.bilateral, size=9, sigma_level=75, sigma_space=75), partial(kernels.clahe, limit=3.0), partial(kernels.adaptive, size=21, offset=10), close, kernels.deskew),
 }
+#: Steps of a further attempt, by the name of its filter.
+RETRIES: dict[str, tuple[Callable[[np.ndarray], np.ndarray], ...]] = {
+    "denoise": (partial(kernels.bilateral, size=9, sigma_level=75, sigma_space=75), binarize),
+    "adaptive": (partial(kernels.adaptive, size=11, offset=2),),
+    "morphology": (binarize, close, kernels.open_),
+    "contrast": (partial(kernels.clahe, limit=3.0), binarize),
+    "sharpen": (sharpen, binarize),
+}
+#: Steps before recognition.
+BEFORE_OCR = (partial(kernels.clahe, limit=2.0), binarize, close)
+
+
+def propose(image: np.ndarray) -> np.ndarray:
+    """Boxes (left, top, width, height) of what ink becomes when letters are joined to lines."""
+    return kernels.boxes(kernels.dilate(255 - binarize(gray(image)), 3, 15, times=2))
 
 
 def measure(image: np.ndarray) -> tuple[float, ...]:
@@ -142,21 +164,46 @@ def image_metrics(images: DataFrame, key: str) -> DataFrame:
     return images.select(key, "height", "width", "channels", "data").mapInPandas(run, schema)
 
 
-def preprocess(images: DataFrame, key: str, tier: str = "tier") -> DataFrame:
-    """key, height, width, channels, data after the steps of each image's tier."""
+def preprocess(images: DataFrame, key: str, tier: str = "tier", steps: dict[str, tuple] = TIERS, otherwise: str = "poor") -> DataFrame:
+    """key, height, width, channels, data, error after the steps that an image's tier names (or, with RETRIES, its filter).
+
+    An image that cannot be read has an error and no data.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                image = gray(pixels(row.height, row.width, row.channels, row.data))
-                for step in TIERS.get(getattr(row, tier), TIERS["poor"]):
-                    image = step(image)
-                out.append((getattr(row, key), *image.shape, 1, image.tobytes()))
-            yield pd.DataFrame(out, columns=[key, "height", "width", "channels", "data"])
+                try:
+                    image = gray(pixels(row.height, row.width, row.channels, row.data))
+                    for step in steps.get(getattr(row, tier), steps[otherwise]):
+                        image = step(image)
+                    out.append((getattr(row, key), *image.shape, 1, image.tobytes(), None))
+                except (ValueError, TypeError) as e:
+                    out.append((getattr(row, key), None, None, None, None, str(e)))
+            frame = pd.DataFrame(out, columns=[key, "height", "width", "channels", "data", "error"])
+            yield frame.astype({c: "Int32" for c in ("height", "width", "channels")})
+
+    kind = images.schema[key].dataType.simpleString()
+    return images.select(key, tier, "height", "width", "channels", "data").mapInPandas(run, f"{key} {kind}, height int, width int, channels int, data binary, error string")
+
+
+def regions(images: DataFrame, key: str) -> DataFrame:
+    """key, pos, left, top, width, height of the regions that each image's ink proposes; none for one that cannot be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                try:
+                    found = propose(pixels(row.height, row.width, row.channels, row.data))
+                except (ValueError, TypeError):
+                    continue
+                out += [(getattr(row, key), i, *map(int, box)) for i, box in enumerate(found)]
+            yield pd.DataFrame(out, columns=[key, "pos", "left", "top", "width", "height"])
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, tier, "height", "width", "channels", "data").mapInPandas(run, f"{key} {kind}, height int, width int, channels int, data binary")
+    return images.select(key, "height", "width", "channels", "data").mapInPandas(run, f"{key} {kind}, pos int, left int, top int, width int, height int")
 
 
 def recognize(images: DataFrame, key: str, engine: Callable[[], OcrEngine], lang: str = "uzb+eng+rus") -> DataFrame:

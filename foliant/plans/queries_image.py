@@ -30,6 +30,20 @@ def image_preprocess(s: Source) -> DataFrame:
     return done.select("page_id", "height", "width", F.sha2("data", 256).alias("data_sha256"))
 
 
+@query()
+def image_retry(s: Source) -> DataFrame:
+    """Each page under the filter of a further attempt."""
+    names = F.array(*map(F.lit, images.RETRIES))
+    asked = drawn(s).withColumn("filter", F.get(names, (F.col("page_id") % len(images.RETRIES)).cast("int")))
+    done = images.preprocess(asked, "page_id", "filter", images.RETRIES, "denoise")
+    return done.select("page_id", "height", "width", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query()
+def image_regions(s: Source) -> DataFrame:
+    return images.regions(drawn(s), "page_id")
+
+
 @query()
 def embed_documents(s: Source) -> DataFrame:
     own = images.embed(s.documents, "doc_id", "text", images.HashEncoder)
