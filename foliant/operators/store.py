@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def vector_upsert(current: DataFrame, changes: DataFrame, id_col: str = "id", version: str = "version") -> DataFrame:
@@ -53,6 +54,45 @@ def delete_owned(results: DataFrame, requests: DataFrame) -> DataFrame:
     return results.join(requests, (results["id"] == requests["id"]) & (results["user_id"] == requests["user_id"]), "left_anti")
 
 
+def with_parent(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Rows that a foreign key allows: its parent is there, or it is null."""
+    return rows.where(F.col(key).isNull()).unionByName(rows.join(parents.select(key), key, "left_semi").select(*rows.columns))
+
+
+def cascade_delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """What is left when the parents in gone are deleted; rows without a parent stay."""
+    return rows.join(gone.select(key), key, "left_anti").select(*rows.columns)
+
+
+def update_rows(rows: DataFrame, changes: DataFrame, key: str, now: Column, stamp: str = "updated_at") -> DataFrame:
+    """rows with the changes (one a key, columns of rows) put in; whatever a change names is stamped, also if it alters nothing."""
+    new = changes.select(key, F.struct(*[c for c in changes.columns if c != key]).alias("__new"))
+    names = set(changes.columns) - {key}
+    joined = rows.join(new, key, "left")
+    named = F.col("__new").isNotNull()
+    put = lambda c: F.when(named, now if c == stamp else F.col("__new")[c]).otherwise(F.col(c)).alias(c)
+    return joined.select(*[put(c) if c in names or c == stamp else F.col(c) for c in rows.columns])
+
+
+def sanitized(c: Column, kind: T.DataType) -> Column:
+    """The value with every binary in it, at any depth, told by its size."""
+    match kind:
+        case T.BinaryType():
+            return F.when(c.isNotNull(), F.concat(F.lit("<"), F.octet_length(c).cast("string"), F.lit(" bytes>")))
+        case T.StructType():
+            return F.when(c.isNotNull(), F.struct(*[sanitized(c[f.name], f.dataType).alias(f.name) for f in kind]))
+        case T.ArrayType():
+            return F.transform(c, lambda x: sanitized(x, kind.elementType))
+        case T.MapType():
+            return F.transform_values(c, lambda _, v: sanitized(v, kind.valueType))
+    return c
+
+
+def safe_errors(errors: DataFrame) -> DataFrame:
+    """errors with all columns fit to be shown: no raw bytes."""
+    return errors.select(*[sanitized(F.col(f.name), f.dataType).alias(f.name) for f in errors.schema])
+
+
 def rename_owned(results: DataFrame, user_id: Column | int, result_id: Column | int, name: str) -> DataFrame:
     mine = (F.col("id") == result_id) & (F.col("user_id") == user_id)
     return results.withColumn("filename", F.when(mine, F.trim(F.lit(name))).otherwise(F.col("filename")))

@@ -196,3 +196,36 @@ def pdf_magic_filter(s: Source) -> DataFrame:
     """Files with the magic bytes; a third of the pages are given them."""
     body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), F.col("html"))).otherwise(F.col("html"))
     return tables.only_pdf(s.pages.select("page_id", body.cast("binary").alias("content"))).select("page_id", F.length("content").alias("length"))
+
+
+@query("ocr_results", "SELECT id, user_id FROM ocr_results WHERE user_id IS NULL OR user_id % 3 <> 0")
+def fk_rows(s: Source) -> DataFrame:
+    own = s.ocr_results.select("id", "user_id")
+    return store.with_parent(own, own.select("user_id").where("user_id % 3 <> 0").distinct(), "user_id")
+
+
+@query("ocr_results", "SELECT id, user_id FROM ocr_results WHERE user_id IS NULL OR user_id % 5 <> 0")
+def cascade_delete(s: Source) -> DataFrame:
+    own = s.ocr_results.select("id", "user_id")
+    return store.cascade_delete(own, own.select("user_id").where("user_id % 5 = 0").distinct(), "user_id")
+
+
+@query("ocr_results", "SELECT id, CASE WHEN id % 7 = 0 THEN 'f' || id ELSE filename END AS filename, id % 7 = 0 OR updated_at > created_at AS stamped FROM (SELECT *, created_at AS updated_at FROM ocr_results)")
+def update_stamp(s: Source) -> DataFrame:
+    own = s.ocr_results.select("id", "filename", "created_at", F.col("created_at").alias("updated_at"))
+    changes = own.where("id % 7 = 0").select("id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("filename"))
+    now = F.lit("2100-01-01 00:00:00").cast(own.schema["updated_at"].dataType)
+    return store.update_rows(own, changes, "id", now).select("id", "filename", (F.col("updated_at") > F.col("created_at")).alias("stamped"))
+
+
+@query("", "SELECT page_id, 'bad body' AS msg, '<' || octet_length(encode(html)) || ' bytes>' AS body, '<' || octet_length(encode(url)) || ' bytes>' AS part FROM pages")
+def sanitize_errors(s: Source) -> DataFrame:
+    ctx = F.struct(F.col("html").cast("binary").alias("body"), F.array(F.col("url").cast("binary")).alias("parts"))
+    errors = store.safe_errors(s.pages.select("page_id", F.lit("bad body").alias("msg"), ctx.alias("ctx")))
+    return errors.select("page_id", "msg", F.col("ctx.body").alias("body"), F.get("ctx.parts", F.lit(0)).alias("part"))
+
+
+@query("", "SELECT user_id AS task, (event_id * 7 % 101)::INTEGER AS percent, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_progress(s: Source) -> DataFrame:
+    announced = s.events.select(F.col("user_id").alias("task"), "event_id", "ts", (F.col("event_id") * 7 % 101).cast("int").alias("percent"))
+    return streams.latest_progress(announced)

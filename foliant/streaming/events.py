@@ -31,6 +31,11 @@ def progress_percent(index: Column, total: Column) -> Column:
     return (30 + (index / total * 50).cast("int")).cast("int")
 
 
+def latest_progress(announced: DataFrame, task: str = "task") -> DataFrame:
+    """Of each task the announcement that came last (ts, then event_id), with its percent; a stream or a table."""
+    return announced.groupBy(task).agg(F.max_by("percent", F.struct("ts", "event_id")).alias("percent"), F.max("ts").alias("ts"))
+
+
 def rate_limited(requests: DataFrame, key: str, limit: int = 6, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """A stream of (key, ts, event_id) with accepted. Each key's state is the times accepted within the window.
 
