@@ -181,17 +181,23 @@ def region_text(tokens: DataFrame, key: str, least: float = 30.0) -> DataFrame:
     return tokens.groupBy(key).agg(words.alias("text"), F.coalesce(F.avg(F.when(F.col("conf") > least, F.col("conf"))), F.lit(0.0)).alias("confidence"))
 
 
-def segment_naming(regions: DataFrame) -> DataFrame:
-    """File names of crops by global order.
+def segment_naming(regions: DataFrame, ranges: int = 200) -> DataFrame:
+    """File names of crops by global order; nulls come last, and a region without a page has no name.
 
     Regions are dealt by ranges of pages; a region's number is its rank in its range plus the sizes of the ranges before,
-    and only those sizes, one a partition, meet in one task.
+    and only those sizes meet in one task. The bounds are values, fixed before (approximate quantiles): a range found
+    anew, by a sample or by where a row lies, need not be the same in each branch of the plan.
     """
-    ranged = regions.select("region_id", "page_id").repartitionByRange("page_id").withColumn("range", F.spark_partition_id())
-    spans = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
-    before = spans.select("range", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("page_id", "region_id")) - 1
-    within = F.row_number().over(Window.partitionBy("range", "page_id").orderBy("region_id")) - 1
-    ranked = ranged.withColumns({"inside": inside, "within": within}).join(F.broadcast(before), "range")
+    cuts = regions.agg(F.percentile_approx("page_id", [k / ranges for k in range(1, ranges)])).first()[0] or []
+    bounds = F.array(*map(F.lit, sorted(set(cuts)))).cast(f"array<{regions.schema['page_id'].dataType.simpleString()}>")
+    below = F.size(F.filter(bounds, lambda b: b < F.col("page_id")))
+    ranged = regions.select("region_id", "page_id", F.when(F.col("page_id").isNull(), len(cuts) + 1).otherwise(below).alias("range"))
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    order = [F.asc_nulls_last("page_id"), F.asc_nulls_last("region_id")]
+    ranked = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1)
+    within = F.col("inside") - F.min("inside").over(Window.partitionBy("range", "page_id"))
+    ranked = ranked.withColumn("within", within).join(F.broadcast(before), "range")
     number = F.col("before") + F.col("inside")
-    return ranked.select("region_id", F.format_string("segment_%04d_page%02d_region%02d.png", number, F.col("page_id"), F.col("within")).alias("file_name"))
+    name = F.format_string("segment_%04d_page%02d_region%02d.png", number, F.col("page_id"), F.col("within"))
+    return ranked.select("region_id", F.when(F.col("page_id").isNotNull(), name).alias("file_name"))

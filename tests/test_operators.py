@@ -118,6 +118,22 @@ def attempts(spark, *confidences):
     return spark.createDataFrame([(0, i, k, float(c)) for i, (k, c) in enumerate(zip(kinds, confidences))], "page_id long, attempt_no long, kind string, confidence double")
 
 
+def test_segment_naming_numbers_every_region_once(spark):
+    n, pages = 600_000, 200
+    df = spark.range(0, n, 1, 8).select(F.col("id").alias("region_id"), (F.col("id") % pages).alias("page_id"))
+    number = F.regexp_extract("file_name", r"segment_(\d+)_page(\d+)_region(\d+)\.png", 1).cast("long")
+    page = F.col("region_id") % pages
+    want = F.format_string("segment_%04d_page%02d_region%02d.png", page * (n // pages) + F.expr(f"region_id div {pages}"), page, F.expr(f"region_id div {pages}"))
+    out = layout.segment_naming(df)
+    got = out.agg(F.count(F.lit(1)), F.countDistinct(number), F.count(F.when(F.col("file_name") == want, 1))).first()
+    assert tuple(got) == (n, n, n)
+    odd = spark.createDataFrame([(5, 1), (None, 1), (4, 1), (4, 1), (7, None), (9, -3)], "region_id int, page_id int")
+    names = sorted((tuple(r) for r in layout.segment_naming(odd).collect()), key=repr)
+    of = "segment_{:04d}_page{}_region{:02d}.png".format
+    assert names == sorted([(9, of(0, "-3", 0)), (4, of(1, "01", 0)), (4, of(2, "01", 1)), (5, of(3, "01", 2)), (None, of(4, "01", 3)), (7, None)], key=repr)
+    assert layout.segment_naming(odd.limit(0)).count() == 0
+
+
 def test_retry(spark):
     got = select.retry_select(attempts(spark, 35, 0, 0, 30, 45, 45, 99, 99)).first()
     assert (got["attempt_no"], got["confidence"], got["n_retries"]) == (4, 45.0, 3)
