@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def vector_upsert(current: DataFrame, changes: DataFrame, id_col: str = "id", version: str = "version") -> DataFrame:
-    """One row an id: the one with the highest version."""
-    both = current.unionByName(changes)
-    rest = [c for c in both.columns if c != id_col]
-    newest = both.groupBy(id_col).agg(F.max_by(F.struct(*rest), F.col(version)).alias("r"))
+def vector_upsert(current: DataFrame, *changes: DataFrame, id_col: str = "id", version: str = "version") -> DataFrame:
+    """One row an id: the one with the highest version, of the tables that have it the one given first."""
+    both = reduce(DataFrame.unionByName, [df.withColumn("__place", F.lit(-i)) for i, df in enumerate((current, *changes))])
+    rest = [c for c in current.columns if c != id_col]
+    newest = both.groupBy(id_col).agg(F.max_by(F.struct(*rest), F.struct(version, "__place")).alias("r"))
     return newest.select(id_col, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 

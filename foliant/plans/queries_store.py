@@ -30,8 +30,7 @@ def view_result(s: Source) -> DataFrame:
 )
 def vector_upsert(s: Source) -> DataFrame:
     row = lambda id_, v, i: s.embeddings.select((F.col("vec_id") + id_).alias("id"), F.lit(v).alias("version"), F.get("embedding", F.lit(i)).alias("vector"))
-    changes = row(0, 2, 1).where("id % 3 = 0").unionByName(row(100000, 2, 2).where("(id - 100000) % 5 = 0"))
-    return store.vector_upsert(row(0, 1, 0), changes)
+    return store.vector_upsert(row(0, 1, 0), row(0, 2, 1).where("id % 3 = 0"), row(100000, 2, 2).where("(id - 100000) % 5 = 0"))
 
 
 @query("", "SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0")

@@ -161,6 +161,16 @@ def test_store(spark):
     assert store.insert_append(results, results).count() == 6 and store.insert_append(results, results, "id").count() == 3
 
 
+def test_vector_upsert_of_equal_versions(spark):
+    of = lambda *rows: spark.createDataFrame(rows, "id long, version int, vector float")
+    n = 40
+    first, later = (of(*((i, 2, float(s * i)) for i in range(n))).repartition(3) for s in (1, -1))
+    out = store.vector_upsert(of((0, 1, 9.0), (n, 1, 9.0), (1, 2, None)), first, later)
+    assert sorted(map(tuple, out.collect())) == [(0, 2, 0.0), (1, 2, None), *((i, 2, float(i)) for i in range(2, n)), (n, 1, 9.0)]
+    out = store.vector_upsert(of((n, 1, 9.0)), later, first)
+    assert sorted(map(tuple, out.collect())) == [*((i, 2, float(-i)) for i in range(n)), (n, 1, 9.0)]
+
+
 def test_records_round_trip(spark, tmp_path):
     df = docs(spark, "№ 5/2021\n05.06.2021 text", "", None)
     made = pipeline.run(df, semantics="intended").drop("doc_id")
