@@ -293,6 +293,33 @@ def test_lines_of_planted_passages(spark):
     assert line_dedup.line_digest(df.limit(0)).count() == 0 and [w[1] for w in want[-3:]] == [0, 2, 2]
 
 
+def test_lines_by_chunks_and_runs(spark):
+    r = random.Random(9)
+    shared = [f"shared {i}" for i in range(40)]
+    texts = ["\n".join([*(f"own {d} {i}" for i in range(r.randint(0, 4))), *shared[r.randint(0, 15) : r.randint(16, 40)], f"end {d}"]) for d in range(25)]
+    texts += ["\n".join(shared), "\n".join([*shared[:20], "put in", *shared[20:]]), "a\na\na\na", "a", ""]
+    rows, df = docs(spark, texts)
+    base = df.where("text is not null").select(F.col("doc_id").alias("row_key"), F.col("doc_id").alias("row_id"), F.split("text", "\n").alias("lines"))
+    for n in (2, 3):
+        pieces = {x["row_key"]: x["pieces"] for x in line_dedup._chunks_and_runs(base, 3, n).collect()}
+        for i, t in rows:
+            runs = {p["start"]: p["chunk"] for p in pieces.get(i, []) if p["size"] == n}
+            assert sorted(runs) == list(range(len(t.split("\n")) - n + 1 if t is not None else 0))
+            for p in pieces.get(i, []):
+                assert p["size"] == n or {a for a, c in runs.items() if c == p["start"]} == set(range(p["start"], p["start"] + p["size"] - n + 1))
+        whole = [{p["hash"] for p in pieces[k] if p["size"] > n} for k in (25, 26)]
+        assert len(whole[0] & whole[1]) >= len(whole[0]) - 2 > 2  # a line put in changes no chunk but its own
+        seen, want = set(), []
+        for i, t in rows:
+            lines, gone = [] if t is None else t.split("\n"), set()
+            for k in range(len(lines) - n + 1):
+                run = tuple(lines[k : k + n])
+                gone.update(range(k, k + n) if run in seen else ())
+                seen.add(run)
+            want.append((i, len(gone), None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+        assert got(line_dedup.passage_dedup(df, least_lines=n), "doc_id", "n_lines_removed", "text") == sorted(want, key=repr)
+
+
 def test_language_on_rows_held_out(spark):
     all_docs = table(spark, SF, "documents")
     profiles = language.fit_profiles(all_docs.where("doc_id % 2 = 0"), sample=80)
