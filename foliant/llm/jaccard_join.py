@@ -47,6 +47,26 @@ def shingles(data: bytes) -> np.ndarray:
     return np.unique(runs(words, SHINGLE))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each of a power of two of residues: whether the set has an odd number of tokens there.
+
+    A token that only one of two sets has changes one bit, so that the sketches differ in no more bits than the sets
+    in tokens.
+    """
+    if not len(own):
+        return b""
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ; the halves of the larger one are added until both have the same size."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
+    while len(x) < len(y):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _digest(own: np.ndarray) -> str:
     return hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else ""
 
@@ -76,7 +96,7 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, data in group:
                 own = shingles(data)
                 digest = _digest(own)
-                out.append((b["doc_id"].iloc[i], len(own), digest, _code(digest)))
+                out.append((b["doc_id"].iloc[i], len(own), digest, _code(digest), sketch(own)))
                 if n_waiting + len(own) > HELD:
                     settle(2, waiting[:n_waiting])
                     n_waiting = 0
@@ -85,12 +105,12 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         continue
                 waiting[n_waiting : n_waiting + len(own)] = own
                 n_waiting += len(own)
-        yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "code"]).assign(kind=DOCS, token=0, row_key=b["row_key"].to_numpy())
+        yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "code", "sketch"]).assign(kind=DOCS, token=0, row_key=b["row_key"].to_numpy())
         give_back()
     if n_waiting or len(tokens):
         settle(TASK_LEAST, waiting[:n_waiting])
         top = np.argsort(-counts, kind="stable")[:TASK_FREQUENT]
-        yield pd.DataFrame({"token": tokens[top].view(np.int64), "n": counts[top], "kind": TOKENS, "digest": "", "code": 0, "doc_id": None, "row_key": 0})
+        yield pd.DataFrame({"token": tokens[top].view(np.int64), "n": counts[top], "kind": TOKENS, "digest": "", "code": 0, "doc_id": None, "row_key": 0, "sketch": None})
 
 
 def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, order: np.uint64) -> np.ndarray:
@@ -193,6 +213,25 @@ def _enough(common: Column, a: Column, b: Column) -> Column:
     return (100 + PERCENT) * common >= PERCENT * (a + b)
 
 
+def _apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (node, hub), each once, with n, n_hub and apart, at most the distance of their sets.
+
+    Sketches (node, n, sketch) are a small part of the sets, and the others of them stay where they are.
+    """
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            apart = [differing(x, y) for x, y in zip(b["sketch"], b["sketch_hub"], strict=True)]
+            yield b[["node", "hub", "n", "n_hub"]].assign(apart=apart)
+
+    wanted = materialize(pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct())
+    few = among(sketches, wanted, "node").where("may").drop("may").join(wanted, "node", "left_semi")
+    few = materialize(few.dropDuplicates(["node"]))
+    hubs = few.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("sketch_hub"))
+    small_batches(pairs.sparkSession)
+    return materialize(pairs.join(few, "node").join(hubs, "hub").mapInPandas(compare, "node long, hub long, n long, n_hub long, apart long"))
+
+
 def _sets(named: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """node, own, the sorted shingles, and to, of the wanted nodes (node, to); named has doc_id, text and coded."""
 
@@ -269,7 +308,10 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     packed by bucket, and those with one node end there. The nodes of a token that few have are paired there; candidates
     must share tokens in the prefixes of both orders, as many as the sizes ask for. Tokens of many nodes make stars: a
     node whose prefix is largely that of another, more central one moves to that one's star, if their sets are half
-    alike at least. Stars are ranked by size, and a node is a candidate of a larger star, not of each of its nodes.
+    alike at least. Stars are ranked by size, and a node is a candidate of a larger star, not of each of its nodes,
+    where under both orders a token of many can be the first that they share.
+    Before a candidate's set travels, its sketch is compared with that of the star's centre: bits of parity, which
+    differ in no more places than the sets in tokens, so that no link is lost and most candidates that are none end there.
     The overlap with the star's centre, of a star of one node the pair itself, is then counted. With d the size of the
     symmetric difference, a link asks for 7 d <= the sum of the sizes, and d of two nodes is at least the difference of
     their d to the centre: so only nodes near enough visit the star. Last, the nodes of a star meet each other and its
@@ -282,7 +324,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with small_batches(spark):
         keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-        survey = materialize(keyed.mapInPandas(_survey, "doc_id long, n long, digest string, code long, kind int, token long, row_key long"))
+        survey = materialize(keyed.mapInPandas(_survey, "doc_id long, n long, digest string, code long, kind int, token long, row_key long, sketch binary"))
     sets = survey.where(F.col("kind") == DOCS).select("doc_id", "n", "digest", "code", "row_key")
     often = survey.where(F.col("kind") == TOKENS).groupBy("token").agg(F.sum("n").alias("n"))
     table = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
@@ -322,8 +364,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = _paired(met.where("other is not null"), facts)
 
     read = partial(_sets, named, repeated=repeated)
-    homes, own = _homes(postings, facts, read)
-    edges, counts = _across(postings, facts, pairs, homes, own, read)
+    held = survey.where((F.col("kind") == DOCS) & F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    sketches = held.select(F.col("doc_id").alias("node"), "n", "sketch")
+    if repeated:
+        sketches = sketches.unionByName(held.select(F.col("code").alias("node"), "n", "sketch"))
+    homes, own = _homes(postings, facts, sketches, read)
+    edges, counts = _across(postings, facts, pairs, homes, own, sketches, read)
     return _labelled(sets, known.drop("code"), classes, hot, edges, counts, repeated)
 
 
@@ -348,7 +394,7 @@ def _paired(met: DataFrame, facts: DataFrame) -> DataFrame:
     return materialize(counted.where(alone).unionByName(rest.where(fits(more)).select(*counted.columns)))
 
 
-def _homes(postings: DataFrame, facts: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _homes(postings: DataFrame, facts: DataFrame, sketches: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """node, star, n and d, the distance to the star's centre, of nodes in stars of two or more; and sets read for it.
 
     Of a token's nodes the one whose prefix others share most speaks for the token; a node chooses, among those
@@ -362,8 +408,8 @@ def _homes(postings: DataFrame, facts: DataFrame, read: Callable[[DataFrame], Da
     likely = materialize(votes.join(most, "node").where("2 * k >= most").join(facts.select("node", "n"), "node").where("32 * k >= n").select("node", "hub", "k"))
     looked = materialize(likely.groupBy("hub").agg(F.count(F.lit(1)).alias("followers")))
     chosen = likely.join(looked, "hub").groupBy("node").agg(F.max_by("hub", F.struct("followers", "k", -F.col("hub"))).alias("hub"))
-    chosen = materialize(chosen)
-    met, own = _overlaps(chosen, read)
+    near = _apart(materialize(chosen), sketches).where("3 * apart <= n + n_hub")  # as for a half of the union below
+    met, own = _overlaps(materialize(near.select("node", "hub")), read)
     half = materialize(met.where("3 * both >= n + n_hub"))  # a half of the union
     centres = materialize(half.select(F.col("hub").alias("node"), F.col("n_hub").alias("n")).distinct())
     moved = half.join(centres.select("node"), "node", "left_anti").select("node", F.col("hub").alias("star"), "n", (F.col("n") + F.col("n_hub") - 2 * F.col("both")).alias("d"))
@@ -372,10 +418,11 @@ def _homes(postings: DataFrame, facts: DataFrame, read: Callable[[DataFrame], Da
     return materialize(homes.join(materialize(sizes), "star")), own
 
 
-def _across(postings: DataFrame, facts: DataFrame, pairs: DataFrame, homes: DataFrame, own: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _across(postings: DataFrame, facts: DataFrame, pairs: DataFrame, homes: DataFrame, own: DataFrame, sketches: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that connect what links connect, and links by node.
 
-    pairs holds all that can link and met at a token of few; what the tokens of many find besides shares no other.
+    pairs holds all that can link and met at a token of few; what the tokens of many find besides shares no other, so
+    that the first token which it shares, in either order, is one of theirs.
     """
     seats = homes.select("node", "star", "size")
     at_home = lambda rows: rows.join(seats, "node", "left").withColumns({"star": F.coalesce("star", "node"), "size": F.coalesce("size", F.lit(1))})
@@ -383,14 +430,11 @@ def _across(postings: DataFrame, facts: DataFrame, pairs: DataFrame, homes: Data
 
     placed = materialize(at_home(postings.join(facts.select("node", "d0", "d1"), "node")))
     grouped = placed.groupBy("order", "token", "star").agg(
-        F.max("size").alias("size_s"), F.max("pos").alias("pos_s"), F.max(F.col("n") - F.col("pos")).alias("rest_s"), F.min("n").alias("least_s"), F.max("n").alias("most_s"), *[F.max(f"d{k}").alias(f"d{k}_s") for k in (0, 1)]
+        F.max("size").alias("size_s"), F.max(_room()).alias("room_s"), F.min("n").alias("least_s"), F.max("n").alias("most_s"), *[F.max(f"d{k}").alias(f"d{k}_s") for k in (0, 1)]
     )
     grouped = materialize(grouped.withColumnRenamed("star", "hub"))
     dense = placed.join(grouped, ["order", "token"]).where(larger & _reach())
-    dense = dense.groupBy("node", "hub").agg(_of_order(0, "c0"), _of_order(1, "c1"), F.max("n").alias("n"), F.min("least_s").alias("least_s"), F.max("most_s").alias("most_s"))
-    beyond = F.ceil(F.greatest("n", "most_s") * PERCENT / 100)
-    for k in (0, 1):
-        dense = dense.where((F.col(f"c{k}") > 0) & _enough(F.col(f"c{k}") + beyond, F.col("n"), F.col("least_s")))
+    dense = dense.groupBy("node", "hub").agg(_of_order(0, "c0"), _of_order(1, "c1")).where("c0 > 0 and c1 > 0")
 
     # A pair counts for the node of the smaller star and the other's star.
     there = seats.select(F.col("node").alias("other"), F.col("star").alias("hub"), F.col("size").alias("size_s"))
@@ -398,10 +442,12 @@ def _across(postings: DataFrame, facts: DataFrame, pairs: DataFrame, homes: Data
     both = both.where("star != hub").withColumn("up", larger)
     sparse = both.select(F.when(F.col("up"), F.col("node")).otherwise(F.col("other")).alias("node"), F.when(F.col("up"), F.col("hub")).otherwise(F.col("star")).alias("hub"))
     pairs = materialize(dense.select("node", "hub").unionByName(sparse).distinct())
-    met, own = _overlaps(pairs, read, own)
+    reach = materialize(homes.groupBy("star").agg(F.max(7 * F.col("d") + F.col("n")).alias("reach")))
+    near = _apart(pairs, sketches).join(reach.withColumnRenamed("star", "hub"), "hub", "left")
+    near = near.where(7 * F.col("apart") - F.col("n") <= F.coalesce("reach", "n_hub"))
+    met, own = _overlaps(materialize(near.select("node", "hub")), read, own)
     own = own.select("node", "own")
 
-    reach = materialize(homes.groupBy("star").agg(F.max(7 * F.col("d") + F.col("n")).alias("reach")))
     told = materialize(met.join(reach.withColumnRenamed("star", "hub"), "hub", "left"))
     linked = told.where(F.col("reach").isNull() & (F.col("both") > 0) & _enough(F.col("both"), F.col("n"), F.col("n_hub"))).select("node", "hub")
     distance = F.col("n") + F.col("n_hub") - 2 * F.col("both")
@@ -417,18 +463,24 @@ def _across(postings: DataFrame, facts: DataFrame, pairs: DataFrame, homes: Data
     return materialize(edges), counts.groupBy("node").agg(F.sum("links").alias("n_links"))
 
 
+def _room() -> Column:
+    """The places from pos on, less what the set's own size asks of them; a similar set asks for as much again by its size."""
+    return (100 + PERCENT) * (F.col("n") - F.col("pos")) - PERCENT * F.col("n")
+
+
 def _reach() -> Column:
-    """Whether a set and one of a star's can be alike that share a token at these places (n, pos; of the star with _s).
+    """Whether a set and one of a star's can be alike and share a token at these places (n, pos) as their first.
 
-    What they share lies before both places, after both, or here; and of what both prefixes hold, under either order,
-    they share no more than the postings (d0, d1) that the one with fewer has among the tokens of many. Of a star the
-    most favourable value of each counts. One is allowed for tokens that look alike when cut to their posted bits.
+    What they share then lies in each from its place on (room_s: most room in a set of the star, less its size); and of
+    what both prefixes hold, under either order, they share no more than the postings (d0, d1) that the one with fewer
+    has among the tokens of many. Of a star (with _s) the most favourable value of each counts. A token that looks like
+    an earlier one of its set, when cut to its posted bits, has that one's place. One is allowed in d0 and d1 for it.
     """
     n, least, most = F.col("n"), F.col("least_s"), F.col("most_s")
-    here = F.least("pos", "pos_s") + F.least(n - F.col("pos"), F.col("rest_s"))
+    first = (_room() >= PERCENT * least) & (F.col("room_s") >= PERCENT * n)
     beyond = F.ceil(F.greatest(n, most) * PERCENT / 100)
     shared = [_enough(F.least(f"d{k}", f"d{k}_s") + beyond, n, least) & (F.least(f"d{k}", f"d{k}_s") > 0) for k in (0, 1)]
-    return (100 * n >= PERCENT * least) & (100 * most >= PERCENT * n) & _enough(here, n, least) & shared[0] & shared[1]
+    return (100 * n >= PERCENT * least) & (100 * most >= PERCENT * n) & first & shared[0] & shared[1]
 
 
 def _blocks(every: DataFrame) -> DataFrame:

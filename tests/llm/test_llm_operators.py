@@ -180,6 +180,39 @@ def test_near_copies_with_outsiders(spark, monkeypatch):
     assert got(jaccard_join.similarity_components(df), "doc_id", "n_links") == sorted(enumerate(links), key=repr)
 
 
+def test_sets_of_unlike_texts_do_not_travel(spark, monkeypatch):
+    """Thirty texts that share much, but too little to link, beside two that link: only these two are compared."""
+    r, base, texts = random.Random(7), prose(71, 300).split(), []
+    for i in range(30):
+        w = list(base)
+        for k in r.sample(range(len(w)), 16):
+            w[k] = f"new{i}x{k}"
+        texts.append(" ".join(w))
+    rows, df = docs(spark, [*texts, texts[3].replace("new3x", "new3y", 1)])
+    compared, overlaps = [], jaccard_join._overlaps
+    monkeypatch.setattr(jaccard_join, "_overlaps", lambda pairs, *rest: compared.append(pairs.count()) or overlaps(pairs, *rest))
+    assert got(jaccard_join.similarity_components(df), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows), key=repr)
+    assert sum(compared) <= 30, compared
+
+
+def test_places_of_a_first_shared_token(spark):
+    """Of two sets of 100 that link, the first shared token is among the first 15 of each."""
+    facts = dict(n=100, least_s=100, most_s=100, d0=26, d1=26, d0_s=26, d1_s=26)
+    rows = [dict(facts, pos=a, pos_s=b, rest_s=100 - b, room_s=175 * (100 - b) - 7500) for a, b in ((14, 14), (0, 14), (15, 14), (14, 15), (20, 20))]
+    told = spark.createDataFrame(rows).select("pos", "pos_s", jaccard_join._reach().alias("may"))
+    assert sorted((x["pos"], x["pos_s"]) for x in told.where("may").collect()) == [(0, 14), (14, 14)]
+
+
+def test_sketches_bound_the_distance():
+    r = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 0), (3, 4, 3), (40, 30, 30), (300, 300, 280), (300, 240, 150), (2000, 2000, 0), (5000, 300, 300)):
+        pool = np.unique(r.integers(0, 2**63, n + m - both, dtype=np.uint64))
+        a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
+        apart = jaccard_join.differing(jaccard_join.sketch(a), jaccard_join.sketch(b))
+        assert apart == jaccard_join.differing(jaccard_join.sketch(b), jaccard_join.sketch(a)) <= n + m - 2 * both
+        assert 7 * apart > n + m or 7 * (n + m - 2 * both) <= 2 * (n + m) or n > 2 * m
+
+
 @pytest.mark.parametrize("block", [None, 7])
 def test_links_of_near_copies(spark, monkeypatch, block):
     if block:
